@@ -121,6 +121,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The documents as the mix trains on them: each repeated as often as its taken words ask, to the nearest whole, in order of position.
+
+    A source's last document is the only one that can be taken in part. Documents that aren't taken go. Equal (id, source, size)
+    rows share what was taken of them, the first by MD5 of the text first. The columns stay as they were.
+    """
+    kept = docs.columns
+    key = ["_id", "_source", "_size"]
+    decided = mix(docs, id_col, text_col, source_col, **options)
+    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0)))).otherwise(0).cast("long")
+    decided = decided.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
+        F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"), F.min("position").alias("_position")
+    ).where("_copies > 0")
+    sized = docs.withColumn("_words", word_count(text_or_empty(text_col)))
+    same = sized[id_col].eqNullSafe(decided["_id"]) & sized[source_col].eqNullSafe(decided["_source"]) & (sized["_words"] == decided["_size"])
+    joined = sized.join(decided, same)
+    place = F.when(F.col("_rows") > 1, F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(text_or_empty(text_col)))) - 1).otherwise(0)
+    mine = F.expr("_copies div _rows") + F.when(place < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    repeated = joined.withColumn("_mine", mine).where("_mine > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine").cast("int"))))
+    return repeated.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(*kept)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
