@@ -12,7 +12,7 @@ MOST_ROUNDS = 300
 def uniform_bin(x: Column, low: Column, high: Column, n_bins: int) -> Column:
     """Bins of equal width; a constant column has the one bin 0."""
     width = F.nullif(high - low, F.lit(0.0))
-    return F.coalesce(F.least(F.floor((x - low) * n_bins / width), F.lit(n_bins - 1)), F.lit(0)).cast("int")
+    return F.when(width.isNull(), 0).otherwise(F.least(F.floor((x - low) * n_bins / width), F.lit(n_bins - 1))).cast("int")
 
 
 def bin_by_edges(x: Column, edges: list[float]) -> Column:
