@@ -21,4 +21,5 @@ SQL = {
     "op4_licenses": licenses.op4_sql(),
     "op5_mixing": mixing.OP5_SQL,
     "op7_sharding": sharding.op7_sql(),
+    "op10_quotes": quotes.op10_sql(),
 }

@@ -125,3 +125,50 @@ def thread(conversations: DataFrame) -> DataFrame:
 
 def op10_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return thread(table(spark, sf_dir, "conversations"))
+
+
+def op10_sql() -> str:
+    def level(body: str) -> str:
+        return f"len(regexp_replace(regexp_extract({body}, '{PREFIX}', 1), '[^>]', '', 'g'))"
+
+    def normal(text: str) -> str:
+        return f"trim(regexp_replace(lower({text}), '[\\s\\p{{Z}}]+', ' ', 'g'))"
+
+    def lines(column: str) -> str:
+        split = f"string_split_regex({column}, '{LINES}')"
+        return f"SELECT rid, unnest({split}) AS raw, generate_subscripts({split}, 1) AS line FROM"
+
+    def passages(name: str, column: str, source: str) -> str:
+        return f"""{name}_lines AS ({lines(column)} {source}),
+{name}_levels AS (SELECT rid, line, {level("raw")} AS level, regexp_replace(raw, '{PREFIX}', '') AS body FROM {name}_lines),
+{name}_blank AS (SELECT *, {normal("body")} = '' AS blank FROM {name}_levels),
+{name}_breaks AS (SELECT *, (blank OR lag(blank, 1, TRUE) OVER w OR coalesce(lag(level) OVER w <> level, FALSE))::INTEGER AS breaks FROM {name}_blank WINDOW w AS (PARTITION BY rid ORDER BY line)),
+{name}_runs AS (SELECT *, sum(breaks) OVER (PARTITION BY rid ORDER BY line) AS run FROM {name}_breaks),
+{name} AS (SELECT rid, level, md5({normal("string_agg(body, ' ' ORDER BY line)")}) AS passage FROM {name}_runs WHERE NOT blank GROUP BY rid, run, level)"""
+
+    return f"""
+WITH RECURSIVE messages AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+cut_lines AS ({lines("text")} messages),
+judged AS (SELECT rid, line, raw, {level("raw")} = 0 AND NOT (regexp_matches(raw, '{INTRODUCES}') AND regexp_matches(lead(raw, 1, '') OVER (PARTITION BY rid ORDER BY line), '{PREFIX}')) AS kept FROM cut_lines),
+kept_lines AS (SELECT rid, string_agg(raw, chr(10) ORDER BY line) FILTER (kept) AS own FROM judged GROUP BY rid),
+texts AS (SELECT messages.*, regexp_matches(text, '{QUOTED}') AS quoting, CASE WHEN regexp_matches(text, '{QUOTED}')
+  THEN regexp_replace(regexp_replace(coalesce(own, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') ELSE text END AS own
+  FROM messages LEFT JOIN kept_lines USING (rid)),
+known AS (SELECT * FROM texts WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+{passages("quoted", "text", "known")},
+{passages("said", "own", "known")},
+sayings AS (SELECT conv_id, turn, passage FROM said JOIN known USING (rid) WHERE level = 0 UNION ALL SELECT conv_id, turn, md5({normal("own")}) FROM known),
+first_said AS (SELECT conv_id, passage, min(turn) AS origin FROM sayings GROUP BY conv_id, passage),
+links AS (SELECT rid, level, CASE WHEN origin < turn THEN origin END AS origin
+  FROM quoted JOIN known USING (rid) LEFT JOIN first_said USING (conv_id, passage) WHERE level > 0 AND quoting),
+linked AS (SELECT rid, max(level) AS quote_level, count(*) AS n_quotes, count(origin) AS n_linked,
+  coalesce(max(origin) FILTER (level = 1), max(origin)) AS reply_to FROM links GROUP BY rid),
+replies AS (SELECT conv_id, turn, max(reply_to) AS reply_to FROM linked JOIN known USING (rid) WHERE reply_to IS NOT NULL GROUP BY conv_id, turn),
+up AS (SELECT conv_id, turn, reply_to AS root_turn, 1 AS depth FROM replies
+  UNION ALL SELECT up.conv_id, up.turn, replies.reply_to, up.depth + 1 FROM up JOIN replies ON replies.conv_id = up.conv_id AND replies.turn = up.root_turn),
+roots AS (SELECT conv_id, turn, arg_max(root_turn, depth) AS root_turn, max(depth) AS depth FROM up GROUP BY conv_id, turn)
+SELECT texts.conv_id, texts.turn, role, own AS text, coalesce(quote_level, 0)::BIGINT AS quote_level, coalesce(n_quotes, 0)::BIGINT AS n_quotes,
+  coalesce(n_linked, 0)::BIGINT AS n_linked, reply_to, coalesce(root_turn, texts.turn) AS root_turn, coalesce(depth, 0)::BIGINT AS depth,
+  '<|' || role || '|>' || chr(10) || own AS message
+FROM texts LEFT JOIN linked USING (rid) LEFT JOIN roots ON roots.conv_id = texts.conv_id AND roots.turn = texts.turn
+"""
