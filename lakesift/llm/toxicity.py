@@ -9,8 +9,8 @@ Pairs are never listed: for each factor, their sum is half of the square of the
 Fitting: the labels' rows that aren't held out, of which the first `train_rows` in order of the
 MD5 of their id are used (the bound of the sample); of each text at most
 `train_terms` terms (those of the smallest hashes). Terms in at least `least_rows` of these texts whose chi-squared
-against the label is at least `least_chi2` are the model's terms, `most_terms` at most. Weights and
-factors are fitted on the driver with AdaGrad. The model is bounded by its parameters
+against the label is at least `least_chi2` are the model's terms, `most_terms` at most, besides some of the most common ones; they're counted in Spark, and only the sample's
+positions in them come to the driver. Weights and factors are fitted there with AdaGrad. The model is bounded by its parameters
 (under 1 MB) and broadcast.
 
 Scoring: every whole text, batch by batch, no shuffle. Labels, language, source and id are no inputs.
@@ -34,23 +34,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import id_text, table
+from lakesift.llm.common import cut, id_text, table
 
 TRAIN_ROWS = 12_000
-TRAIN_TERMS = 4096
-LEAST_ROWS = 4
+TRAIN_TERMS = 1 << 17
+LEAST_ROWS = 3
 LEAST_CHI2 = 20.0
 MOST_TERMS = 8192
+#: Terms in so large a share of the texts are the model's at this chi-squared: a word may mean little alone and much beside another.
+COMMON_SHARE, COMMON_CHI2, COMMON_TERMS = 0.05, 6.6, 128
 FACTORS = 4
-EPOCHS = 25
+EPOCHS = 40
 BATCH = 128
-RATE = 0.1
-SHRINK = 1e-4
+#: AdaGrad's rates and the pull to zero of weights and of factors.
+RATE, RATE_V = 1.0, 0.1
+SHRINK, SHRINK_V = 1e-5, 1e-3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6)
 CACHED = 400_000
+#: Hashes are below twice this.
+HALF = 1 << 31
 
 
 def term_hashes(word: str) -> list[int]:
@@ -90,81 +95,102 @@ def _segments(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows) if len(rows) else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), sizes)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS, least_rows: int = LEAST_ROWS, least_chi2: float = LEAST_CHI2, most_terms: int = MOST_TERMS) -> Model:
-    """rows: the term hashes of each text; labels: 0 or 1."""
-    n, positive = len(rows), int(labels.sum())
+def train(texts: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS) -> Model:
+    """texts: positions in terms; labels: 0 or 1."""
+    n, positive = len(texts), int(labels.sum())
     if positive in (0, n):
         share = positive / n if n else 0.0
         return Model(np.zeros(0, np.int64), math.log(max(share, 1e-9) / max(1 - share, 1e-9)), np.zeros(0), np.zeros((0, factors)))
-    flat, which = _segments(rows)
-    hashes, inverse, df = np.unique(flat, return_inverse=True, return_counts=True)
-    with_one = np.bincount(inverse, weights=labels[which], minlength=len(hashes))
-    expected = df * positive / n
-    spread = expected * (1 - positive / n) * (1 - df / n)
-    chi2 = np.divide((with_one - expected) ** 2, spread, out=np.zeros(len(df)), where=spread > 0)
-    chosen = np.flatnonzero((df >= least_rows) & (chi2 >= least_chi2))
-    chosen = np.sort(chosen[np.lexsort((hashes[chosen], -chi2[chosen]))[:most_terms]])
-    place = np.full(len(hashes), -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = place[inverse]
-    texts = [part[part >= 0] for part in np.split(kept, np.cumsum([len(r) for r in rows])[:-1])]
     random = np.random.default_rng(7)
-    w, v, b = np.zeros(len(chosen)), random.normal(0, 0.01, (len(chosen), factors)), math.log(positive / (n - positive))
-    gw, gv, gb = np.full(len(chosen), 1e-8), np.full(v.shape, 1e-8), 1e-8
+    w, v, b = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), factors)), math.log(positive / (n - positive))
+    gw, gv, gb = np.full(len(terms), 1e-8), np.full(v.shape, 1e-8), 1e-8
     for _ in range(epochs):
         order = random.permutation(n)
         for at in range(0, n, BATCH):
             batch = order[at : at + BATCH]
-            terms, row = _segments([texts[k] for k in batch])
-            mine = v[terms]
+            at_terms, row = _segments([texts[k] for k in batch])
+            mine = v[at_terms]
             total = np.zeros((len(batch), factors))
             np.add.at(total, row, mine)
             square = np.zeros((len(batch), factors))
             np.add.at(square, row, mine * mine)
-            margin = b + np.bincount(row, weights=w[terms], minlength=len(batch)) + 0.5 * (total**2 - square).sum(axis=1)
+            margin = b + np.bincount(row, weights=w[at_terms], minlength=len(batch)) + 0.5 * (total**2 - square).sum(axis=1)
             error = (_probability(margin) - labels[batch]) / len(batch)
             db = error.sum()
             gb += db * db
             b -= RATE * db / math.sqrt(gb)
-            touched, local = np.unique(terms, return_inverse=True)
-            dw = np.bincount(local, weights=error[row], minlength=len(touched)) + SHRINK * w[touched] / len(batch)
+            touched, local = np.unique(at_terms, return_inverse=True)
+            dw = np.bincount(local, weights=error[row], minlength=len(touched)) + SHRINK * w[touched]
             dv = np.zeros((len(touched), factors))
             np.add.at(dv, local, error[row][:, None] * (total[row] - mine))
-            dv += SHRINK * v[touched] / len(batch)
+            dv += SHRINK_V * v[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             w[touched] -= RATE * dw / np.sqrt(gw[touched])
-            v[touched] -= RATE * dv / np.sqrt(gv[touched])
-    return Model(hashes[chosen].astype(np.int64), b, w, v)
+            v[touched] -= RATE_V * dv / np.sqrt(gv[touched])
+    return Model(terms, b, w, v)
 
 
-def _terms_of(texts: Iterator[pa.Array], limit: int) -> Iterator[pa.Array]:
-    for part in texts:
-        found = []
-        for text in part.to_pylist():
-            got: set[int] = set()
-            for word in set(WORD.findall((text or "").lower())):
-                got.update(term_hashes(word))
-            found.append(sorted(got)[:limit])
-        yield pa.array(found, pa.list_(pa.int64()))
+def _features(limit: int):
+    """A function for mapInArrow: (id, label, text) to (id, label, terms); a term is its hash less 2**31."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(2).to_pylist():
+                got: set[int] = set()
+                for word in set(WORD.findall(text.lower())):
+                    got.update(term_hashes(word))
+                found.append([h - HALF for h in sorted(got)[:limit]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "label", "terms"])
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_terms: int = TRAIN_TERMS) -> Model:
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    sample = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(train_rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
-    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
+    return run
+
+
+def _chosen(features: DataFrame, least_rows: int, least_chi2: float, most_terms: int) -> np.ndarray:
+    """The sorted hashes of the model's terms; features: (id, label, terms)."""
+    n, positive = features.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if positive in (0, n):
+        return np.zeros(0, np.int64)
+    share = positive / n
+    counted = features.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("ones"))
+    spread = F.col("df") * share * (1 - share) * (1 - F.col("df") / n)
+    chi2 = F.coalesce(F.try_divide((F.col("ones") - F.col("df") * share) ** 2, spread), F.lit(0.0))
+    scored = cut(counted.withColumn("chi2", chi2).where((F.col("df") >= least_rows) & (F.col("chi2") >= min(least_chi2, COMMON_CHI2))))
+    best = [F.col("chi2").desc(), "term"]
+    strong = scored.where(F.col("chi2") >= least_chi2).orderBy(*best).limit(most_terms)
+    common = scored.where((F.col("chi2") < least_chi2) & (F.col("df") >= COMMON_SHARE * n) & (F.col("chi2") >= COMMON_CHI2)).orderBy(*best).limit(COMMON_TERMS)
+    return np.sort(np.array([r[0] for r in strong.union(common).select("term").collect()], np.int64)) + HALF
+
+
+def _positions(terms: np.ndarray):
+    """A function for mapInArrow: each text's terms to their positions in the model's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            terms = next(_terms_of(iter([batch.column(2)]), train_terms))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms], names=["id", "label", "terms"])
+            found = []
+            for row in batch.column(2):
+                hashes = row.values.to_numpy().astype(np.int64) + HALF
+                at = np.searchsorted(terms, hashes)
+                at = at[np.take(terms, at, mode="clip") == hashes] if len(terms) else at[:0]
+                found.append(at.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "label", "terms"])
+
+    return run
+
 
-    got = texts.select(F.col("id").cast("long").alias("id"), "label", "text").mapInArrow(run, "id long, label int, terms array<long>").toArrow().sort_by("id")
-    lists = got.column("terms").combine_chunks()
-    rows = np.split(lists.values.to_numpy(), lists.offsets.to_numpy()[1:-1]) if len(lists) else []
-    return train(rows, got.column("label").to_numpy().astype("f8"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_terms: int = TRAIN_TERMS, least_rows: int = LEAST_ROWS, least_chi2: float = LEAST_CHI2, most_terms: int = MOST_TERMS) -> Model:
+    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
+    sample = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(train_rows)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
+    schema = "id long, label int, terms array<int>"
+    features = cut(texts.select("id", "label", "text").mapInArrow(_features(train_terms), schema))
+    terms = _chosen(features, least_rows, least_chi2, most_terms)
+    got = features.mapInArrow(_positions(terms), schema).toArrow().sort_by("id")
+    rows = [np.asarray(r, np.int64) for r in got.column("terms").to_pylist()]
+    return train(rows, got.column("label").to_numpy().astype("f8"), terms)
 
 
 def scorer(spark: SparkSession, model: Model):
