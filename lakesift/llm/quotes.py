@@ -21,7 +21,7 @@ many times never makes pairs; no window or list spans a conversation. Passages a
 gathered by message; only messages that quote, and conversations that hold one,
 get as far as that.
 
-Defined cases: a null text is empty; a null conversation or turn links to nothing
+Defined cases: a null text or role is empty; a null conversation or turn links to nothing
 and stands as a root of its own; equal rows are kept and treated alike; quotes of something
 that nobody said are counted and removed, without a link; an empty table gives
 an empty result; other columns aren't looked at.
