@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakesift.dataset import FeatureFrame
 
@@ -52,6 +53,14 @@ class FittedSelector:
             raise ValueError(f"X has {len(mine)} features, but {kind} is expecting {self.n_features_in} features as input.")
         return df.select(*keep, *[mine[k] for k in self.top_features])
 
+    def inverse_transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+        """All features of fit again, with 0 for those that weren't selected."""
+        chosen = set(self.selected)
+        missing = [c for c in chosen if c not in df.columns]
+        if missing:
+            raise ValueError(f"no such columns: {', '.join(sorted(missing))}")
+        return df.select(*keep, *[c if c in chosen else F.lit(0.0).alias(c) for c in self.feature_cols])
+
     def scores(self, spark: SparkSession) -> DataFrame:
         """(feature_idx, feature, is_discrete, score, rank), one row a feature."""
         from lakesift.functions.selection import ranked

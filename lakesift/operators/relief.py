@@ -131,6 +131,16 @@ def _tile(x: np.ndarray, mine: np.ndarray, discrete: list[bool], f: int) -> np.n
     return (a != b).astype(float) if discrete[f] else np.abs(a - b)
 
 
+def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
+    """Which k columns of each row are nearest, the first of equals."""
+    if k >= dist.shape[1]:
+        return np.ones(dist.shape, bool)
+    limit = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
+    near, tied = dist < limit, dist == limit
+    lacking = k - near.sum(axis=1, keepdims=True)
+    return near | (tied & (np.cumsum(tied, axis=1) <= lacking))
+
+
 def _weights(kind: str, dist: np.ndarray, mine: np.ndarray, y: np.ndarray, k: int, star: bool) -> np.ndarray:
     """What each pair of a tile counts in the scores."""
     n = len(y)
@@ -145,11 +155,9 @@ def _weights(kind: str, dist: np.ndarray, mine: np.ndarray, y: np.ndarray, k: in
         far[rows, mine] = np.inf
         for c, count in enumerate(counts):
             columns = np.flatnonzero(y == c)
-            order = np.argsort(far[:, columns], axis=1, kind="stable")[:, :k]
-            chosen = columns[order]
             hit = y[mine] == c
-            each = np.where(hit, -1.0 / np.minimum(k, counts[y[mine]]), count / (n - counts[y[mine]]) / k)
-            weight[rows[:, None], chosen] = each[:, None]
+            each = np.where(hit, -1.0 / np.minimum(k, counts[y[mine]]), count / np.maximum(1, n - counts[y[mine]]) / k)
+            weight[:, columns] = _nearest(far[:, columns], k) * each[:, None]
         weight[rows, mine] = 0.0
         return weight
     total = dist.sum(axis=1)

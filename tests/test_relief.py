@@ -81,6 +81,8 @@ def test_known_rankings(spark):
     assert model.top_features == [0] and model.feature_importances[3] == pytest.approx(0)
     out = model.transform(table(spark, F2), keep=["id"])
     assert out.columns == ["id", "f0"] and out.count() == 10
+    back = model.inverse_transform(out, keep=["id"])
+    assert back.columns == ["id", *NAMES] and back.first()["f2"] == 0.0 and back.where("id = 5").first()["f0"] == 8.8
     scores = model.scores(spark).collect()
     assert {r["rank"] for r in scores} == {1, 2, 3, 4} and next(r["feature"] for r in scores if r["rank"] == 1) == "f0"
 
