@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import table, text_or_empty
@@ -98,7 +98,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     doc = ["row", "doc_id", "n_words"]
     what = [*doc, "template", "label", "is_base", "pairs"]
     bit = F.expr("shiftleft(1L, at)")
-    diagonals = votes.groupBy(*what, (F.col("start") - F.col("at")).cast("long").alias("diagonal")).agg(F.bit_or(bit).alias("seen"))
+    # Votes are dealt out by document once; what follows keeps a document's rows where they are.
+    dealt = votes.select(*what, (F.col("start") - F.col("at")).cast("long").alias("diagonal"), bit.alias("bit")).repartition("row")
+    diagonals = dealt.groupBy(*what, "diagonal").agg(F.bit_or("bit").alias("seen"))
+    # No neighbourhood of diagonals covers more than all diagonals together.
+    reach = F.bit_count(F.bit_or("seen").over(Window.partitionBy("row", "template"))) / F.col("pairs")
+    diagonals = diagonals.withColumn("reach", reach).where(F.col("is_base") | (F.col("reach") >= coverage)).drop("reach")
     near = F.when(F.col("is_base"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(-drift), F.lit(drift)))
     merged = diagonals.withColumn("off", F.explode(near)).groupBy(*what, (F.col("diagonal") + F.col("off")).alias("diagonal")).agg(F.bit_or("seen").alias("seen"))
     covered = F.bit_count("seen") / F.col("pairs")
