@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import id_text, md5_long, table, text_or_empty
+from lakesift.llm.common import cut, id_text, md5_long, table, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 #: Start and end of each source's weight over training time, repeating like WEIGHTS.
@@ -91,7 +91,9 @@ def position(start: Column, end: Column, share: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, position), one row per input row, range-sorted by position."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"))
-    keyed = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")).withColumn("key", md5_long(id_text("doc_id")))
+    # Read several times below; it's a few dozen bytes a document, and the texts are read once.
+    counted = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
+    keyed = counted.withColumn("key", md5_long(id_text("doc_id")))
     targets = source_targets(keyed, weights, schedules, budget, max_epochs)
     # One row a source: Spark broadcasts it while it is small and shuffles it beyond that.
     same_source = keyed["source"].eqNullSafe(targets["source"])
