@@ -57,8 +57,10 @@ FURNITURE_WORDS = frozenset(
     "subscribe subscription signup login social share sharing related recommended recommendations comment comments disqus respond reply replies toolbar "
     "pagination pager widget widgets".split()
 )
-CONTENT_WORDS = frozenset("content main article post entry body text story page wrapper container layout with has no site wrap".split())
-KEEPS = frozenset("html body article main".split())
+#: A name with one of these tells of the layout around furniture.
+LAYOUT_WORDS = frozenset("with without has no layout grid column columns".split())
+COMMENT_WORDS = frozenset("comment comments reply replies".split())
+KEEPS = frozenset("html body main".split())
 #: Elements that end when another of the second set begins.
 ENDS = {
     "li": frozenset(["li"]),
@@ -93,9 +95,9 @@ class Block:
     marked: bool
 
 
-def _named_furniture(name: str) -> bool:
+def _named_furniture(name: str, words: frozenset[str] = FURNITURE_WORDS) -> bool:
     parts = [x for x in _PARTS.split(name.lower()) if x]
-    return bool(parts) and (parts[0] in FURNITURE_WORDS or parts[-1] in FURNITURE_WORDS) and not CONTENT_WORDS.intersection(parts)
+    return bool(parts) and (parts[0] in words or parts[-1] in words) and not LAYOUT_WORDS.intersection(parts)
 
 
 def _element(tag: str, attributes: str) -> tuple[str, bool]:
@@ -114,7 +116,8 @@ def _element(tag: str, attributes: str) -> tuple[str, bool]:
         hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true" or "display:none" in got.get("style", "").replace(" ", "").lower()
         label += "!hidden" * hidden
         if tag not in KEEPS:
-            furniture = furniture or hidden or role in FURNITURE_ROLES or any(map(_named_furniture, [*names, *own]))
+            words = COMMENT_WORDS if tag == "article" else FURNITURE_WORDS
+            furniture = furniture or hidden or role in FURNITURE_ROLES or any(_named_furniture(x, words) for x in [*names, *own])
     return label, furniture
 
 
@@ -191,6 +194,7 @@ def blocks(page: str, opened: dict[tuple[str, bool], int] | None = None) -> list
                         stack.pop()
             label, furniture = _element(tag, attributes)
             _, _, path, outer, marked = stack[-1]
+            outer = outer and tag != "main"  # there's one, and it's never furniture
             marked = marked or tag in ("article", "main") or "@main" in label
             if block:
                 stack.append((tag, True, f"{path}>{label}", outer or furniture, marked))

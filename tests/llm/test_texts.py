@@ -407,6 +407,8 @@ def test_classes_nest(spark):
         ("<p>a<span class='ad'>buy</span> b</p>", ["a b"]),
         ("<a href='x", []),
         ("<p hidden>no</p><p>yes</p>", ["yes"]),
+        ("<div class='post-comments'>no</div><article class='comment-body'>no</article><article class='notice'>yes</article>", ["yes"]),
+        ("<div class='sidebar-right'><main>in<nav>no</nav></main>out</div>", ["in"]),
         ("<div class='content-with-sidebar'>in</div><div class='left sidebar'>out</div>", ["in"]),
     ],
 )
