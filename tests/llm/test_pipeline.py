@@ -8,9 +8,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_stages(spark, tmp_path):
-    rows = toxic_rows(360)
+    rows = toxic_rows(900)
     texts = {i: t for i, t, _ in rows}
-    extra = {1000 + k: texts[k] for k in range(0, 360, 9)} | {2000: "", 2001: None}
+    extra = {1000 + k: texts[k] for k in range(0, 900, 9)} | {2000: "", 2001: None}
     docs = spark.createDataFrame([(i, t, "en", f"s{i % 4}", None if t is None else len(t)) for i, t in (texts | extra).items()], DOCS)
     labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
     folder = str(tmp_path)
@@ -25,7 +25,10 @@ def test_stages(spark, tmp_path):
             assert now.columns == docs.columns
     model = toxicity.fit(docs, labels)
     clean = {r["doc_id"] for r in toxicity.with_score(docs, model).where("score < 0.7").collect()}
-    assert {r["doc_id"] for r in seen[0].collect()} == clean and 100 < len(clean) < 300
+    assert {r["doc_id"] for r in seen[0].collect()} == clean
+    harmless = {i for i, _, y in rows if not y}
+    harmless |= {i for i in extra if i >= 2000 or i - 1000 in harmless}
+    assert len(clean ^ harmless) <= 0.03 * len(texts | extra)
     left = sorted(seen[0].collect(), key=lambda r: r["doc_id"])
     group = slow_components([slow_fingerprint(r["text"]) for r in left])
     assert sorted(r["doc_id"] for r in seen[1].collect()) == sorted(left[g]["doc_id"] for g in set(group))
