@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.dataset import FeatureFrame
+from lakesift.dataset import MOST_CLASSES, FeatureFrame
 from lakesift.functions.stats import chi2_sf
 
 LEAST_EXPECTED = 1e-12
@@ -34,11 +34,26 @@ def chi2_of_sums(sums: DataFrame, names: Sequence[str], n_classes: int) -> DataF
 
 
 def chi2(df: DataFrame, label_col: str, feature_cols: Sequence[str] | None = None) -> DataFrame:
-    """(feature_idx, feature, chi2, p_value). A feature that is 0 everywhere has chi2 0 and p 1; so has every feature of a single class."""
+    """(feature_idx, feature, chi2, p_value). A feature that is 0 everywhere has chi2 0 and p 1; so has every feature of a single class.
+
+    One pass gives each class's rows and sums and all checks; what follows works on a row for each class.
+    """
     frame = FeatureFrame.of(df, label_col, feature_cols)
-    frame.checked()
-    least = frame.df.agg(F.least(*[F.min(F.col(c).cast("double")) for c in frame.feature_cols], F.lit(0.0))).first()[0]
-    if least is not None and least < 0:
+    found, p = [F.count(F.lit(1)).cast("double")], frame.n_features
+    for c in frame.feature_cols:
+        x = F.col(c).cast("double")
+        found += [F.sum(x), F.min(x), F.count_if(x.isNull() | F.isnan(x)), F.count_if(F.abs(x) == float("inf"))]
+    rows = frame.df.groupBy(label_col).agg(*[e.alias(f"a{k}") for k, e in enumerate(found)]).limit(MOST_CLASSES + 1).collect()
+    if any(r[4 * k + 4] for r in rows for k in range(p)):
+        raise ValueError("Input X contains NaN")
+    if any(r[4 * k + 5] for r in rows for k in range(p)):
+        raise ValueError("Input X contains infinity")
+    if any(r[0] is None for r in rows):
+        raise ValueError("Input y contains NaN")
+    if not rows or len(rows) > MOST_CLASSES:
+        raise ValueError("Found 0 rows; at least 1 are needed" if not rows else f"more than {MOST_CLASSES} classes: is {label_col} a label?")
+    if any(r[4 * k + 3] < 0 for r in rows for k in range(p)):
         raise ValueError("Input matrix X must contain non-negative values.")
-    sums = class_sums(frame)
-    return chi2_of_sums(sums, frame.feature_cols, len(frame.classes()))
+    schema = ", ".join(["n double", *[f"s{k} double" for k in range(p)]])
+    sums = df.sparkSession.createDataFrame([(r[1], *[r[4 * k + 2] for k in range(p)]) for r in rows], schema)
+    return chi2_of_sums(sums, frame.feature_cols, len(rows))
