@@ -9,9 +9,9 @@ with running sums over the sources sorted by cap / weight.
 A source's training stream is its documents in hash order, gone through as many
 times as its target asks. Its schedule is a weight that moves linearly from
 `start` to `end` while training time goes from 0 to 1; the integral of that
-schedule is the source's cumulative word demand, and a document's position is
-the time at which that demand reaches the document's first word. Documents are
-range-sorted by position.
+schedule is the source's cumulative word demand, and each use of a document has
+its own position: the time at which that demand reaches the first word of that use.
+Documents are range-sorted by position.
 
 Prefix sums never gather a source in one task: a source's hash range is cut
 into buckets of about `rows_per_bucket` documents, buckets are summed first, and
@@ -88,8 +88,8 @@ def position(start: Column, end: Column, share: Column) -> Column:
     return F.when(start == end, share).otherwise(moving)
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, position), one row per input row, range-sorted by position."""
+def _streams(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, schedules, budget: float, max_epochs: int, rows_per_bucket: int) -> DataFrame:
+    """(doc_id, source, size, copies, source_size, target, start, end, base), one row for equal (id, source, size) rows; base: the words of a pass before them."""
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text_or_empty(text_col)).alias("size"))
     # Read several times below; it's a few dozen bytes a document, and the texts are read once.
     counted = cut(sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("copies")))
@@ -106,43 +106,64 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     offsets = per_bucket.select("source", "bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("offset"))
     inside = Window.partitionBy("source", "bucket").orderBy("key", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
     running = placed.withColumn("inner", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
-    whole = running.join(offsets, running["source"].eqNullSafe(offsets["source"]) & (running["bucket"] == offsets["bucket"])).select(running["*"], offsets["offset"])
-    last = F.col("copies") - 1
-    chunks = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES_AT_ONCE}"))))
-    rows = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * COPIES_AT_ONCE, F.least(last, F.col("chunk") * COPIES_AT_ONCE + COPIES_AT_ONCE - 1))))
-    words = F.floor(F.col("target") + 0.5)
+    whole = running.join(offsets, running["source"].eqNullSafe(offsets["source"]) & (running["bucket"] == offsets["bucket"]))
+    base = (offsets["offset"] + running["inner"]).alias("base")
+    return whole.select(*[running[c] for c in ("doc_id", "source", "size", "copies", "source_size", "target", "start", "end")], base)
+
+
+def _uses(rows: DataFrame, copy: Column) -> DataFrame:
+    """With taken and positions, the training time of each use: a pass goes through all of the source, so uses are source_size words apart."""
+    words, size, source_size = F.col("words"), F.col("size"), F.col("source_size")
     rows = (
-        rows.withColumn("first_word", F.col("offset") + F.col("inner") + F.col("copy") * F.col("size"))
-        .withColumn("words", words)
+        rows.withColumn("first_word", F.col("base") + copy * size)
+        .withColumn("words", F.floor(F.col("target") + 0.5))
         .withColumn("epochs", F.expr("coalesce(words div nullif(source_size, 0), 0)"))
-        .withColumn("rest", F.col("words") - F.col("epochs") * F.col("source_size"))
-        .withColumn("taken", F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("first_word"))))
+        .withColumn("rest", words - F.col("epochs") * source_size)
+        .withColumn("taken", F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, F.col("rest") - F.col("first_word"))))
     )
-    share = F.col("first_word") / F.nullif(F.col("words"), F.lit(0))
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.round(position(F.col("start"), F.col("end"), share), 6)))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position").orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    last = F.col("epochs") - F.when(F.col("first_word") < F.col("rest"), 0).otherwise(1)
+
+    def time(turn: Column) -> Column:
+        return F.round(position(F.col("start"), F.col("end"), (turn * source_size + F.col("first_word")) / F.nullif(words, F.lit(0))), 6)
+
+    return rows.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last), time)))
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, position, positions), one row per input row, range-sorted by position.
+
+    positions has the time of every use, position that of the first.
+    """
+    whole = _streams(docs, id_col, text_col, source_col, weights, schedules, budget, max_epochs, rows_per_bucket)
+    last = F.col("copies") - 1
+    chunks = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES_AT_ONCE}"))))
+    rows = chunks.withColumn("copy", F.explode(F.sequence(F.col("chunk") * COPIES_AT_ONCE, F.least(last, F.col("chunk") * COPIES_AT_ONCE + COPIES_AT_ONCE - 1))))
+    rows = _uses(rows, F.col("copy")).withColumn("position", F.get("positions", F.lit(0)))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "positions").orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The documents as the mix trains on them: each repeated as often as its taken words ask, to the nearest whole, in order of position.
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, schedules=SCHEDULES, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The documents as the mix trains on them: each as often as its taken words ask, to the nearest whole, every use at its own position.
 
     A source's last document is the only one that can be taken in part. Documents that aren't taken go. Equal (id, source, size)
-    rows share what was taken of them, the first by MD5 of the text first. The columns stay as they were.
+    rows take their places in the stream in order of the MD5 of the text. The columns stay as they were.
     """
     kept = docs.columns
     key = ["_id", "_source", "_size"]
-    decided = mix(docs, id_col, text_col, source_col, **options)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0)))).otherwise(0).cast("long")
-    decided = decided.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(
-        F.sum(copies).alias("_copies"), F.count(F.lit(1)).alias("_rows"), F.min("position").alias("_position")
-    ).where("_copies > 0")
+    wanted = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0)))).otherwise(0).cast("int")
+    streams = _streams(docs, id_col, text_col, source_col, weights, schedules, budget, max_epochs, rows_per_bucket)
+    # Of equal rows the first is taken most.
+    streams = _uses(streams, F.lit(0)).where(wanted > 0).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
+        F.struct("size", "copies", "source_size", "target", "start", "end", "base").alias("_stream"),
+    )
     sized = docs.withColumn("_words", word_count(text_or_empty(text_col)))
-    same = sized[id_col].eqNullSafe(decided["_id"]) & sized[source_col].eqNullSafe(decided["_source"]) & (sized["_words"] == decided["_size"])
-    joined = sized.join(decided, same)
-    place = F.when(F.col("_rows") > 1, F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(text_or_empty(text_col)))) - 1).otherwise(0)
-    mine = F.expr("_copies div _rows") + F.when(place < F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    repeated = joined.withColumn("_mine", mine).where("_mine > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mine").cast("int"))))
-    return repeated.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(*kept)
+    same = sized[id_col].eqNullSafe(streams["_id"]) & sized[source_col].eqNullSafe(streams["_source"]) & (sized["_words"] == streams["_size"])
+    place = F.when(F.col("_stream")["copies"] > 1, F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(text_or_empty(text_col)))) - 1).otherwise(0)
+    joined = sized.join(streams, same).withColumn("_place", place.cast("long")).select(F.struct(*kept).alias("_row"), "_place", "_stream.*")
+    used = _uses(joined, F.col("_place")).where(wanted > 0).select("_row", F.explode(F.slice("positions", F.lit(1), wanted)).alias("_position"))
+    used = used.select("_row.*", "_position")
+    return used.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(*kept)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,19 @@ def test_mixed_documents(spark):
     assert sum(r["count"] for r in mixing.mixed(documents(spark, MIXES["copies"])).groupBy("doc_id").count().collect()) > 0
 
 
+def test_every_use_has_its_position(spark):
+    """All uses follow the integral of the weight, and a pass over the source ends before the next one begins."""
+    df = documents(spark, [(k, f"w{k}", "a") for k in range(600)])
+    times = [p for r in mixing.mix(df, budget=2.0).collect() for p in r["positions"]]
+    assert len(times) == 1200
+    for t in (0.25, 0.5, 0.75):
+        assert sum(p <= t for p in times) / 1200 == pytest.approx((3 * t - t * t) / 2, abs=0.01)
+    order = [r["doc_id"] for r in mixing.mixed(df, budget=2.0).collect()]
+    assert sorted(order[:600]) == sorted(order[600:]) == list(range(600))
+    order = [r["text"] for r in mixing.mixed(documents(spark, [(7, f"w{k}", "a") for k in range(5)]), budget=2.0).collect()]
+    assert len(order) == 10 and order[:5] == order[5:] == sorted(order[:5], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+
+
 def test_lookup_table():
     shards = [f"n{k}" for k in range(5)]
     table = sharding.lookup_table(shards, 101)
