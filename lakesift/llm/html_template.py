@@ -118,11 +118,11 @@ def _element(tag: str, attributes: str) -> tuple[str, bool]:
         if tag not in KEEPS:
             words = COMMENT_WORDS if tag == "article" else FURNITURE_WORDS
             furniture = furniture or hidden or role in FURNITURE_ROLES or any(_named_furniture(x, words) for x in [*names, *own])
-    return label, furniture
+    return label.replace(">", "-"), furniture
 
 
 def blocks(page: str, opened: dict[tuple[str, bool], int] | None = None) -> list[Block]:
-    """The page's blocks of text, in order. opened: gets the number of block elements by (path, furniture)."""
+    """The page's blocks of text, in order. opened: gets the number of elements in paths by (path, furniture)."""
     # Open elements: (tag, is a block, path, furniture, marked)
     stack: list[tuple[str, bool, str, bool, bool]] = [("", True, "", False, False)]
     out: list[Block] = []
@@ -202,7 +202,11 @@ def blocks(page: str, opened: dict[tuple[str, bool], int] | None = None) -> list
                     key = (stack[-1][2], stack[-1][3])
                     opened[key] = opened.get(key, 0) + 1
             else:
-                stack.append((tag, False, path, outer or furniture, marked))
+                # Furniture in a line is part of the path, so that a path is furniture everywhere or nowhere.
+                stack.append((tag, False, f"{path}>{label}" if furniture else path, outer or furniture, marked))
+                if furniture and opened is not None:
+                    key = (stack[-1][2], True)
+                    opened[key] = opened.get(key, 0) + 1
     flush()
     return out
 
