@@ -4,8 +4,9 @@
    tokens are the paths of its block elements, and the texts of blocks outside of a marked article.
 2. A token's occurrence vector says how often each page of the host holds it. Vectors are kept as two
    sums of hashes of (page, count), which add up over tasks; tokens of a host with equal vectors
-   are a class. A class is valid if it has at least two tokens and spans at least `least_pages` pages and
-   `least_share` of the host's pages.
+   are a class. Pages whose texts (without furniture) are equal count as one page, so copies make no template.
+   A class has at least two tokens and spans at least `least_pages` pages; its tokens are the template's if they stand on
+   `least_share` of the pages that have the path around them, so each layout of a host has a template.
 3. Valid classes nest by their paths into the host's template: a class's parent holds the longest path above its own.
 4. Paths of the template are its slots; a text belongs to the deepest one around it. A slot is furniture if its path has an element for menus, headers,
    footers, sidebars, notices, adverts, forms or comments; its text is dropped. So is text that is itself a
@@ -14,8 +15,8 @@
    never dropped for standing on all pages, since copies of an article do.
    Elements around a text that the template doesn't have are judged by the same rule.
 
-Only sums a token go through the shuffle to find classes, so a host with a third of all pages is no large group.
-A host's template is at most a few times a page. The templates are broadcast if their measured
+A page's tokens go through the shuffle once, by host and content, and then sums a token, so a host with a third of all
+pages is no large group. A host's template is at most a few times the paths of its layouts. The templates are broadcast if their measured
 size is at most `broadcast_bytes`; beyond that, pages are joined on the host, where Spark splits a skewed side.
 
 Defined cases: a null page is empty and gives an empty text; a null url has the host ''; hosts with few pages have no
@@ -256,47 +257,67 @@ def host_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(authority, r"^.*@", ""), r":\d*$", "")
 
 
-TOKENS = "host string, path string, token long, furniture boolean, pages long, one long, two long"
+TOKENS = "path string, token long, furniture boolean, own long, base long, one long, two long"
+PAGES = f"host string, content long, page long, tokens array<struct<{TOKENS.replace(' ', ':').replace(',:', ',')}>>"
 
 
-def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) to a row for each host and token of a batch; path is null for a text's token, and the token is 0 for a path's."""
-    names = [f.split()[0] for f in TOKENS.split(", ")]
-    types = [pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+def _path_hash(path: str) -> int:
+    return xxhash.xxh64_intdigest(path.encode(), 2) >> 1
+
+
+def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html) to a row a page, with a hash of its texts that aren't furniture and its tokens.
+
+    path is null for a text's token, and the token is 0 for a path's. base: the path that the token's pages are a share of,
+    which is a text's own path and the path around a path.
+    """
+    kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    token_type = pa.struct(list(zip([f.split()[0] for f in TOKENS.split(", ")], kinds)))
     for batch in batches:
-        sums: dict[tuple, list[int]] = {}
-        for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        contents, ids, lists = [], [], []
+        for page in batch.column(1).to_pylist():
             page = page or ""
             opened: dict[tuple[str, bool], int] = {}
-            found, key = blocks(page, opened), xxhash.xxh64_intdigest(page.encode(), 1)
-            counts: dict[tuple, int] = {(path, 0, furniture): n for (path, furniture), n in opened.items()}
+            found = blocks(page, opened)
+            said = "\n".join(f"{b.path}\n{b.text}" for b in found if not b.furniture)
+            content = xxhash.xxh64_intdigest(said.encode(), 1)
+            counts: dict[tuple, int] = {}
+            for (path, furniture), n in opened.items():
+                counts[path, 0, furniture, _path_hash(path), _path_hash(path.rpartition(">")[0])] = n
             for b in found:
                 if b.furniture or not b.marked:
-                    token = (None, text_token(b), b.furniture)
+                    token = (None, text_token(b), b.furniture, None, _path_hash(b.path))
                     counts[token] = counts.get(token, 0) + 1
-            counts["", 0, False] = 1
+            counts["", 0, False, _path_hash(""), _path_hash("")] = 1
+            tokens = []
             for token, n in counts.items():
-                mixed = key.to_bytes(8, "little") + n.to_bytes(8, "little")
-                held = sums.setdefault((host, *token), [0, 0, 0])
-                held[0] += 1
-                held[1] += zlib.crc32(mixed) >> 1
-                held[2] += xxhash.xxh32_intdigest(mixed) >> 1
-        if sums:
-            rows = zip(*[(*k, *v) for k, v in sums.items()])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names=names)
+                mixed = content.to_bytes(8, "little") + n.to_bytes(8, "little")
+                tokens.append((*token, zlib.crc32(mixed) >> 1, xxhash.xxh32_intdigest(mixed) >> 1))
+            contents.append(content >> 1)
+            ids.append(xxhash.xxh64_intdigest(page.encode()) >> 1)
+            lists.append(tokens)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(contents, pa.int64()), pa.array(ids, pa.int64()), pa.array(lists, pa.list_(token_type))], names=["host", "content", "page", "tokens"]
+        )
 
 
 def classes(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, path, token, furniture, pages, class): the tokens of the valid classes of each host; pages: (host, html)."""
-    counted = pages.select("host", "html").mapInArrow(_count_tokens, TOKENS)
-    tokens = counted.groupBy("host", "path", "token", "furniture").agg(*[F.sum(c).alias(c) for c in ("pages", "one", "two")])
+    """(host, path, token, furniture, pages, class): the tokens of the valid classes of each host; pages: (host, html).
+
+    Pages of equal content count as one. A token's share is that of the pages with the path around it, so that a layout
+    is judged by its own pages.
+    """
+    read = pages.select("host", "html").mapInArrow(_page_tokens, PAGES)
+    distinct = read.groupBy("host", "content").agg(F.min_by("tokens", "page").alias("tokens"))
+    counted = distinct.select("host", F.inline("tokens"))
+    tokens = counted.groupBy("host", "path", "token", "furniture", "own", "base").agg(F.count(F.lit(1)).alias("pages"), F.sum("one").alias("one"), F.sum("two").alias("two"))
     tokens = cut(tokens.where(F.col("pages") >= least_pages))
-    whole = tokens.where((F.col("path") == "") & (F.col("token") == 0)).select("host", F.col("pages").alias("host_pages"))
-    often = tokens.join(whole, "host").where(F.col("pages") >= F.col("host_pages") * least_share)
+    around = tokens.where(F.col("own").isNotNull()).groupBy("host", F.col("own").alias("base")).agg(F.max("pages").alias("around_pages"))
     alike = Window.partitionBy("host", "pages", "one", "two")
+    shared = tokens.withColumn("alike", F.count(F.lit(1)).over(alike)).where(F.col("alike") >= 2)
     return (
-        often.withColumn("alike", F.count(F.lit(1)).over(alike))
-        .where(F.col("alike") >= 2)
+        shared.join(around, ["host", "base"])
+        .where(F.col("pages") >= F.col("around_pages") * least_share)
         .select("host", "path", "token", "furniture", "pages", F.xxhash64("pages", "one", "two").alias("class"))
     )
 
@@ -318,7 +339,7 @@ def nested(found: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, slots, furniture_slots, constant): a row for each host with a template. Tokens of a host's template are at most 1 / least_share times those of a page."""
+    """(host, slots, furniture_slots, constant): a row for each host with a template."""
     found = classes(pages, least_pages, least_share)
     is_path = F.col("path").isNotNull()
     return found.groupBy("host").agg(

@@ -384,6 +384,22 @@ def test_copies_of_an_article_stay(spark):
     assert {r["text"] for r in html_template.extract(pages(spark, rows)).collect()} == {expected_text(1)}
 
 
+def test_copies_of_an_unmarked_page_stay(spark):
+    page = "<html><body><nav>{n}</nav><div><p>Story {k}</p><p>goes like {k}.</p></div></body></html>"
+    rows = [(n, "http://one.example.org/a", page.format(k=1, n=n)) for n in range(3)]
+    rows += [(10 + n, "http://half.example.org/a", page.format(k=max(n, 4), n=0)) for n in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, rows)).collect()}
+    assert {got[n] for n in range(3)} == {"Story 1\ngoes like 1."}
+    assert [got[10 + n] for n in range(9)] == [f"Story {max(n, 4)}\ngoes like {max(n, 4)}." for n in range(9)]
+
+
+def test_each_layout_has_a_template(spark):
+    page = "<html><body><div class='{c}'><p>Welcome to {c}</p><div>Story {k}</div><p>All rights of {c}</p></div></body></html>"
+    rows = [(k, "http://foo.example.org/a", page.format(c="xyz"[k % 3], k=k)) for k in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, rows)).collect()}
+    assert got == {k: f"Story {k}" for k in range(12)}
+
+
 def test_furniture_in_a_line_is_no_slot_of_others(spark):
     page = "<html><body><article><div>Story {k}</div><a class=share><div>Share</div></a></article></body></html>"
     rows = [(k, "http://foo.example.org/a", page.format(k=k)) for k in range(6)]
