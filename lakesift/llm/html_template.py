@@ -11,8 +11,8 @@
 4. Paths of the template are its slots; a text belongs to the deepest one around it. A slot is furniture if its path has an element for menus, headers,
    footers, sidebars, notices, adverts, forms or comments; its text is dropped. So is text that is itself a
    token of the template, as it's the same on all pages. What remains is the article: the
-   slots inside of a marked article (or main) element, or where a page marks none all that remain. Text in a marked article is
-   never dropped for standing on all pages, since copies of an article do.
+   slots inside of a marked article (or main) element and, if the host has a template, its slots beside it, or where a page marks none all that
+   remain. Text in a marked article is never dropped for standing on all pages: there the lists of names decide alone.
    Elements around a text that the template doesn't have are judged by the same rule.
 
 A page's tokens go through the shuffle once, by host and content, and then sums a token, so a host with a third of all
@@ -236,13 +236,11 @@ def article(found: list[Block], slots: frozenset[str], furniture_slots: frozense
     for b in found:
         if slot_of(b.path, template) in furniture_slots or b.furniture:
             continue
-        if kind == "article":
-            if not (b.marked and ">article" in b.path):
-                continue
-        elif kind == "main":
-            if not b.marked:
-                continue
-        elif text_token(b) in constant:
+        inside = b.marked and (kind == "main" or ">article" in b.path)
+        # Beside the marked element the template decides, and where the host has none the element.
+        if kind and not inside and not slots:
+            continue
+        if not inside and text_token(b) in constant:
             continue
         out.append(b.text)
     return out
@@ -279,13 +277,14 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = page or ""
             opened: dict[tuple[str, bool], int] = {}
             found = blocks(page, opened)
+            kind = marked_kind(found)
             said = "\n".join(f"{b.path}\n{b.text}" for b in found if not b.furniture)
             content = xxhash.xxh64_intdigest(said.encode(), 1)
             counts: dict[tuple, int] = {}
             for (path, furniture), n in opened.items():
                 counts[path, 0, furniture, _path_hash(path), _path_hash(path.rpartition(">")[0])] = n
             for b in found:
-                if b.furniture or not b.marked:
+                if b.furniture or not (b.marked and (kind == "main" or ">article" in b.path)):
                     token = (None, text_token(b), b.furniture, None, _path_hash(b.path))
                     counts[token] = counts.get(token, 0) + 1
             counts["", 0, False, _path_hash(""), _path_hash("")] = 1

@@ -406,6 +406,12 @@ def test_furniture_in_a_line_is_no_slot_of_others(spark):
     assert {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, rows)).collect()} == {k: f"Story {k}" for k in range(6)}
 
 
+def test_main_text_beside_an_article_stays(spark):
+    page = "<html><body><div class='story'><p>Story {k}</p><p>Read all of it</p></div><article class='teaser'><p>Teaser {k}</p></article></body></html>"
+    rows = [(k, "http://foo.example.org/a", page.format(k=k)) for k in range(6)]
+    assert {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, rows)).collect()} == {k: f"Story {k}\nTeaser {k}" for k in range(6)}
+
+
 def test_classes_nest(spark):
     rows = [(k, "http://foo.example.org/a", f"<html><body><div class='box'><p>{'x</p><p>' * (k % 3)}{k}</p></div>" + "<ul><li>a</ul>" * (k % 2) + "</body></html>") for k in range(12)]
     df = pages(spark, rows).withColumn("host", html_template.host_of(F.col("url")))
