@@ -24,7 +24,9 @@ CODES = ["linenumber", "discount", "tax", "quantity"]
 PLANTED = ["q", "qn", "linenumber", "discount"]
 TWO = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
 CUSTOMER = ["c_acctbal", "c_nationkey"]
+#: The components that the SQL reads; the queries named _all read the whole vector and have none.
 DIMS = [f"e{k}" for k in range(8)]
+ALL_DIMS = [f"e{k}" for k in range(64)]
 GENES = ["g0", "g1", "g2", "g3"]
 
 
@@ -60,8 +62,8 @@ def _two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", label.alias("y"), *TWO)
 
 
-def _dims(spark: SparkSession, d: str) -> DataFrame:
-    return spread_array(table(spark, d, "embeddings"), "embedding", len(DIMS), "e").select("vec_id", "label", *DIMS)
+def _dims(spark: SparkSession, d: str, names: list[str] = DIMS) -> DataFrame:
+    return spread_array(table(spark, d, "embeddings"), "embedding", len(names), "e").select("vec_id", "label", *names)
 
 
 def _genes(spark: SparkSession, d: str) -> DataFrame:
@@ -183,13 +185,13 @@ def _customer(scorer):
     return lambda spark, d: _relief_scores(spark, scorer(), table(spark, d, "customer"), "c_mktsegment", CUSTOMER, "c_custkey")
 
 
-def _embedding(scorer):
-    return lambda spark, d: _relief_scores(spark, scorer(), _dims(spark, d), "label", DIMS, "vec_id")
+def _embedding(scorer, names: list[str] = DIMS):
+    return lambda spark, d: _relief_scores(spark, scorer(), _dims(spark, d, names), "label", names, "vec_id")
 
 
-def turf_multisurf(spark: SparkSession, d: str) -> DataFrame:
-    model = TuRF(MultiSURF(), 4, 0.25).fit(_dims(spark, d), "label", DIMS, "vec_id")
-    rows = [(k, c, float(s), k in model.top_features) for k, (c, s) in enumerate(zip(DIMS, model.feature_importances))]
+def turf_multisurf(spark: SparkSession, d: str, names: list[str] = DIMS) -> DataFrame:
+    model = TuRF(MultiSURF(), 4, 0.25).fit(_dims(spark, d, names), "label", names, "vec_id")
+    rows = [(k, c, float(s), k in model.top_features) for k, (c, s) in enumerate(zip(names, model.feature_importances))]
     return spark.createDataFrame(rows, "feature_idx int, feature string, score double, survives boolean").withColumn("score", F.round("score", 6))
 
 
@@ -261,6 +263,9 @@ QUERIES = {
     "relieff_embeddings": _embedding(lambda: ReliefF(n_neighbors=5)),
     "multisurf_embeddings": _embedding(MultiSURF),
     "turf_multisurf": turf_multisurf,
+    "relieff_embeddings_all": _embedding(lambda: ReliefF(n_neighbors=5), ALL_DIMS),
+    "multisurf_embeddings_all": _embedding(MultiSURF, ALL_DIMS),
+    "turf_multisurf_all": lambda spark, d: turf_multisurf(spark, d, ALL_DIMS),
     "mdr_balanced_accuracy": mdr_balanced_accuracy,
     "mdr_cv_winner": mdr_cv_winner,
     "mdr_lut": mdr_lut,

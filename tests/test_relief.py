@@ -9,6 +9,7 @@ import pytest
 from lakesift.operators.base import FittedSelector, NotFittedError, Selector
 from lakesift.operators.relief import SURF, MultiSURF, ReliefF
 from lakesift.operators.turf import TuRF
+from lakesift.plans.catalogue import QUERIES
 
 F1 = [(0.1, 5.0, 10.0, 3.0, 0), (0.2, 4.0, 10.0, 3.0, 0), (0.3, 6.0, 10.0, 3.0, 0), (10.8, 5.0, 20.0, 3.0, 1), (10.9, 4.0, 20.0, 3.0, 1), (11.0, 6.0, 20.0, 3.0, 1)]
 F2 = [(1.1, 5.0, 10.0, 3.0, 0), (1.2, 4.0, 10.0, 3.0, 0), (2.3, 6.0, 10.0, 3.0, 0), (2.5, 5.5, 10.0, 3.0, 0), (1.5, 4.5, 20.0, 3.0, 0)]
@@ -168,3 +169,20 @@ def test_parameters():
     assert scorer.set_params(n_neighbors=2).n_neighbors == 2
     with pytest.raises(ValueError):
         scorer.set_params(k=2)
+
+
+def test_whole_embeddings(spark, tmp_path):
+    random = np.random.default_rng(5)
+    x, y = random.normal(size=(40, 64)).astype("f4").astype("f8"), [k % 3 for k in range(40)]
+    x[:, 50] += y
+    rows = [(k, [float(v) for v in x[k]], y[k]) for k in range(40)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    for name, kind in (("relieff_embeddings_all", "relieff"), ("multisurf_embeddings_all", "multisurf")):
+        got = {r["feature_idx"]: r["score"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert [got[f] for f in range(64)] == pytest.approx(plain(kind, x, y, 10, 5), abs=1e-5)
+    left = list(range(64))
+    while len(left) > 4:
+        scores = plain("multisurf", x[:, left], y, 10)
+        left = [f for _, f in sorted(zip(scores, left))[min(max(1, int(len(left) * 0.25)), len(left) - 4) :]]
+    got = QUERIES["turf_multisurf_all"](spark, str(tmp_path)).collect()
+    assert len(got) == 64 and {r["feature_idx"] for r in got if r["survives"]} == set(left) and 50 in left
