@@ -5,7 +5,11 @@ Consecutive lines of one level, without a blank line between them, make a passag
 its words in lower case, with single spaces, are hashed. Passages at level 0 (and
 a message's whole own text) are what can be quoted. A quoted passage is linked to
 the first message of the conversation that holds it as its own, if that comes
-before the quoting message. A message replies to the latest message that its passages
+before the quoting message. A passage that nobody said as a whole is linked through its
+pieces, which are its lines and its sentences: a piece of at least `WINDOW` words is found if each run
+of `WINDOW` words in it is said earlier, wherever in a passage; a shorter one if it is a
+line or sentence of an earlier message. Of a passage's pieces the latest origin counts, as a run can be
+said before by others. Case and punctuation don't matter there. A message replies to the latest message that its passages
 of level 1 are linked to, or else those of deeper levels.
 
 Replies form trees. Pointer doubling finds each message's root and depth in
@@ -38,7 +42,12 @@ LINES = r"\r?\n"
 PREFIX = r"^((?:[ \t]*>)+)"
 QUOTED = r"(?m)^[ \t]*>"
 #: A line that introduces a quote.
-INTRODUCES = r"^[^\n]{1,200}\b(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$"
+INTRODUCES = r"^[^\n]+\b(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$"
+#: The SQL knows such lines up to 200 characters.
+SQL_INTRODUCES = r"^[^\n]{1,200}\b(wrote|writes|said|schrieb|escribió|écrit)\s*:\s*$"
+SENTENCE_END = r"(?<=[.!?…])\s+|(?<=[。！？])"
+#: Words in a run that tells where a quote comes from.
+WINDOW = 5
 KEY = ["conv_id", "turn", "digest"]
 
 
@@ -50,6 +59,38 @@ def _normal(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), r"[\s\p{Z}]+", " "))
 
 
+def _words(text: Column) -> Column:
+    return F.array_remove(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}\s\p{Z}]+", ""), r"[\s\p{Z}]+"), "")
+
+
+def _windows(words: Column) -> Column:
+    """Hashes of the runs of WINDOW words; words: at least so many."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - WINDOW + 1), lambda k: F.md5(F.array_join(F.slice(words, k, WINDOW), " ")))
+
+
+def _pieces(bodies: Column) -> Column:
+    """The words of a passage's lines and sentences."""
+    whole = F.array_join(bodies, " ")
+    return F.filter(F.transform(F.array_distinct(F.concat(bodies, F.split(whole, SENTENCE_END))), _words), lambda w: F.size(w) > 0)
+
+
+def _piece_origins(quotes: DataFrame, said: DataFrame) -> DataFrame:
+    """(KEY, run, piece_origin) of quoted passages with a piece that was said; quotes, said: with KEY, run and bodies."""
+    short = F.filter(_pieces(F.col("bodies")), lambda w: F.size(w) < WINDOW)
+    words = _words(F.array_join("bodies", " "))
+    none = F.array().cast("array<string>")
+    hashes = F.concat(F.transform(short, lambda w: F.md5(F.array_join(w, " "))), F.when(F.size(words) >= WINDOW, _windows(words)).otherwise(none))
+    first = said.select("conv_id", "turn", F.explode(hashes).alias("part")).groupBy("conv_id", "part").agg(F.min("turn").alias("part_origin"))
+    pieces = quotes.select(*KEY, "run", F.posexplode(_pieces(F.col("bodies"))).alias("piece", "words"))
+    words = F.col("words")
+    parts = F.when(F.size(words) >= WINDOW, _windows(words)).otherwise(F.array(F.md5(F.array_join(words, " "))))
+    asked = pieces.select(*KEY, "run", "piece", F.explode(F.array_distinct(parts)).alias("part"))
+    earlier = F.when(F.col("part_origin") < F.col("turn"), F.col("part_origin"))
+    found = asked.join(first, ["conv_id", "part"], "left").withColumn("part_origin", earlier)
+    whole = found.groupBy(*KEY, "run", "piece").agg(F.max("part_origin").alias("piece_origin"), F.bool_and(F.col("part_origin").isNotNull()).alias("all"))
+    return whole.where("all").groupBy(*KEY, "run").agg(F.max("piece_origin").alias("piece_origin"))
+
+
 def _own_text(text: Column) -> Column:
     """The text without quoted lines and lines that introduce them."""
     lines = F.split(text, LINES)
@@ -63,7 +104,7 @@ def _own_text(text: Column) -> Column:
 
 
 def _passages(messages: DataFrame) -> DataFrame:
-    """(KEY, level, passage): the passages of messages with the columns KEY and text."""
+    """(KEY, run, level, bodies, passage): the passages of messages with the columns KEY and text."""
     lines = messages.select(*KEY, F.posexplode(F.split("text", LINES)).alias("line", "body"))
     lines = lines.select(*KEY, "line", _level(F.col("body")).alias("level"), F.regexp_replace("body", PREFIX, "").alias("body"))
     lines = lines.withColumn("blank", _normal(F.col("body")) == "")
@@ -71,7 +112,8 @@ def _passages(messages: DataFrame) -> DataFrame:
     breaks = F.col("blank") | F.coalesce(F.lag("blank").over(order), F.lit(True)) | (F.lag("level").over(order) != F.col("level"))
     runs = lines.withColumn("breaks", breaks.cast("int")).withColumn("run", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     gathered = runs.where(~F.col("blank")).groupBy(*KEY, "run", "level").agg(F.array_sort(F.collect_list(F.struct("line", "body"))).alias("all"))
-    return gathered.select(*KEY, "level", F.md5(_normal(F.array_join(F.col("all")["body"], " "))).alias("passage"))
+    bodies = F.col("all")["body"]
+    return gathered.select(*KEY, "run", "level", bodies.alias("bodies"), F.md5(_normal(F.array_join(bodies, " "))).alias("passage"))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -99,10 +141,13 @@ def thread(conversations: DataFrame) -> DataFrame:
     else:
         asked = known.join(quotes.select("conv_id").distinct(), "conv_id", "left_semi").select(*KEY, "text").distinct()
         own = asked.withColumn("text", _own_text(F.col("text")))
-        said = _passages(own).where(F.col("level") == 0).select("conv_id", "turn", "passage")
+        passages = _passages(own).where(F.col("level") == 0)
+        said = passages.select("conv_id", "turn", "passage")
         said = said.union(own.select("conv_id", "turn", F.md5(_normal(F.col("text")))))
         first = said.groupBy("conv_id", "passage").agg(F.min("turn").alias("origin"))
         found = quotes.join(first, ["conv_id", "passage"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
+        left = found.where(F.col("origin").isNull())
+        found = found.join(_piece_origins(left, passages), [*KEY, "run"], "left").withColumn("origin", F.coalesce("origin", "piece_origin"))
         linked = cut(
             found.groupBy(*KEY).agg(
                 F.max("level").cast("long").alias("quote_level"),
@@ -149,7 +194,7 @@ def op10_sql() -> str:
     return f"""
 WITH RECURSIVE messages AS (SELECT row_number() OVER () AS rid, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
 cut_lines AS ({lines("text")} messages),
-judged AS (SELECT rid, line, raw, {level("raw")} = 0 AND NOT (regexp_matches(raw, '{INTRODUCES}') AND regexp_matches(lead(raw, 1, '') OVER (PARTITION BY rid ORDER BY line), '{PREFIX}')) AS kept FROM cut_lines),
+judged AS (SELECT rid, line, raw, {level("raw")} = 0 AND NOT (regexp_matches(raw, '{SQL_INTRODUCES}') AND regexp_matches(lead(raw, 1, '') OVER (PARTITION BY rid ORDER BY line), '{PREFIX}')) AS kept FROM cut_lines),
 kept_lines AS (SELECT rid, string_agg(raw, chr(10) ORDER BY line) FILTER (kept) AS own FROM judged GROUP BY rid),
 texts AS (SELECT messages.*, regexp_matches(text, '{QUOTED}') AS quoting, CASE WHEN regexp_matches(text, '{QUOTED}')
   THEN regexp_replace(regexp_replace(coalesce(own, ''), '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') ELSE text END AS own

@@ -246,6 +246,25 @@ def test_quotes(spark):
     assert order == [0, 4, 1, 2, 3, 5]
 
 
+def test_quotes_of_parts(spark):
+    long = "We could use the old oven for this. It takes twenty minutes to get hot! Then bake.\nThe second line is about resting the dough for an hour."
+    rows = [
+        (1, 0, "user", "It takes twenty minutes or so."),
+        (1, 1, "assistant", long),
+        (1, 2, "user", "> it takes twenty minutes to get hot\nReally?"),
+        (1, 3, "user", "> The second line is about resting the dough for an hour.\nWhy?"),
+        (1, 4, "user", "> could use the old oven for\nYes."),
+        (1, 5, "user", "> Then bake.\nHow long?"),
+        (1, 6, "user", "> We could use the new oven for this.\nNobody said that"),
+        (1, 7, "user", "On Monday, " + "a very long name " * 20 + "wrote:\n> We could use the old oven\n> for this. It takes\nGood."),
+        (2, 0, "user", "> Then bake.\nother conversation"),
+    ]
+    got = {(r["conv_id"], r["turn"]): r for r in quotes.thread(talk(spark, rows)).collect()}
+    assert [got[1, k]["reply_to"] for k in range(2, 8)] == [1, 1, 1, 1, None, 1] and got[2, 0]["reply_to"] is None
+    assert [got[1, k]["n_linked"] for k in range(2, 8)] == [1, 1, 1, 1, 0, 1]
+    assert got[1, 7]["text"] == "Good." and got[1, 7]["depth"] == 1
+
+
 TALK_COLUMNS = ["conv_id", "turn", "role", "text", "quote_level", "n_quotes", "n_linked", "reply_to", "root_turn", "depth", "message"]
 
 
