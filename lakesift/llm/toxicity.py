@@ -7,11 +7,16 @@ terms mean more together (an insult and the mention of a group) than the sum of
 Pairs are never listed: for each factor, their sum is half of the square of the sum less the sum of the squares.
 
 Fitting: the labels' rows that aren't held out, of which the first `train_rows` in order of the
-MD5 of their id are used (the bound of the sample); of each text at most
-`train_terms` terms (those of the smallest hashes). Terms in at least `least_rows` of these texts whose chi-squared
-against the label is at least `least_chi2` are the model's terms, `most_terms` at most, besides some of the most common ones; they're counted in Spark, and only the sample's
-positions in them come to the driver. Weights and factors are fitted there with AdaGrad. The model is bounded by its parameters
-(under 1 MB) and broadcast.
+MD5 of their id are used (the bound of the sample), with all terms of their texts. The model's terms stand in at least
+`least_rows` of these texts. They are the `common_terms` most common ones, whatever they mean alone, as a word may mean little
+alone and much beside another; and those rarer ones, `most_terms` at most, whose chi-squared against the label is at least
+`least_chi2`. They're counted in Spark, and only the sample's positions in them come to the driver.
+
+Weights and factors are fitted there with AdaGrad. What pulls them to zero is taken off after each step and is scaled by the term's
+own rate, so it can't be mistaken for evidence: a weight loses a constant, and so does the length of a term's factors. Terms
+without evidence end at exactly 0, others keep theirs. The rates and pulls are those of `SETTINGS` whose machine has the least
+log-loss on a third of the sample that it wasn't fitted on; if no pair of terms tells more than its
+sum, that leaves factors near zero. The model is bounded by its parameters (under 1 MB) and broadcast.
 
 Scoring: every whole text, batch by batch, no shuffle. Labels, language, source and id are no inputs.
 
@@ -37,18 +42,18 @@ from pyspark.sql import functions as F
 from lakesift.llm.common import cut, id_text, table
 
 TRAIN_ROWS = 12_000
-TRAIN_TERMS = 1 << 17
 LEAST_ROWS = 3
 LEAST_CHI2 = 20.0
 MOST_TERMS = 8192
-#: Terms in so large a share of the texts are the model's at this chi-squared: a word may mean little alone and much beside another.
-COMMON_SHARE, COMMON_CHI2, COMMON_TERMS = 0.05, 6.6, 128
+COMMON_TERMS = 4096
 FACTORS = 4
-EPOCHS = 40
+#: Passes over the sample: so many rows in all, within these limits.
+ROWS_SEEN, LEAST_EPOCHS, MOST_EPOCHS = 60_000, 6, 60
 BATCH = 128
-#: AdaGrad's rates and the pull to zero of weights and of factors.
-RATE, RATE_V = 1.0, 0.1
-SHRINK, SHRINK_V = 1e-5, 1e-3
+#: Rows of the sample at most that a candidate's settings are fitted on.
+TRIAL_ROWS = 4000
+#: AdaGrad's rate of weights, and the size at which factors begin.
+RATE, FACTOR_START = 0.5, 0.05
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 3, 1
 WORD = re.compile(r"[^\W\d_]+")
@@ -63,6 +68,19 @@ def term_hashes(word: str) -> list[int]:
     return coded + [zlib.crc32(f"{word[:n]}*".encode()) for n in PREFIXES if len(word) >= n]
 
 
+@dataclass(frozen=True)
+class Settings:
+    """AdaGrad's rate of factors, and the pulls to zero of weights and of factors."""
+
+    rate_v: float
+    pull: float
+    pull_v: float
+
+
+#: The candidates, of which the sample chooses.
+SETTINGS = (Settings(0.1, 1e-4, 1e-3), Settings(0.1, 1e-4, 3e-4), Settings(0.05, 3e-4, 3e-4))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(id_text(id_col).cast("binary")) % FOLDS == HELD_OUT
 
@@ -90,64 +108,93 @@ def _probability(margins: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(margins, -35, 35)))
 
 
-def _segments(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _batch(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All positions of these texts, the text of each, and where each text that has any begins, with that text."""
     sizes = np.array([len(r) for r in rows])
-    return np.concatenate(rows) if len(rows) else np.zeros(0, np.int64), np.repeat(np.arange(len(rows)), sizes)
+    having = np.flatnonzero(sizes)
+    return np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes), (np.cumsum(sizes) - sizes)[having], having
 
 
-def train(texts: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS) -> Model:
-    """texts: positions in terms; labels: 0 or 1."""
-    n, positive = len(texts), int(labels.sum())
-    if positive in (0, n):
-        share = positive / n if n else 0.0
-        return Model(np.zeros(0, np.int64), math.log(max(share, 1e-9) / max(1 - share, 1e-9)), np.zeros(0), np.zeros((0, factors)))
+def _epochs(n: int, rows_seen: int) -> int:
+    return min(MOST_EPOCHS, max(LEAST_EPOCHS, rows_seen // n))
+
+
+def machine(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, settings: Settings, factors: int = FACTORS, epochs: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """(bias, weights, factors) after `epochs` passes. Factors begin to move after a sixth of them, when weights tell what terms mean alone."""
+    n, positive = len(texts), float(labels.sum())
+    epochs = epochs or _epochs(n, ROWS_SEEN)
     random = np.random.default_rng(7)
-    w, v, b = np.zeros(len(terms)), random.normal(0, 0.01, (len(terms), factors)), math.log(positive / (n - positive))
-    gw, gv, gb = np.full(len(terms), 1e-8), np.full(v.shape, 1e-8), 1e-8
-    for _ in range(epochs):
+    w, v, b = np.zeros(n_terms), random.normal(0, FACTOR_START, (n_terms, factors)), math.log(positive / (n - positive))
+    gw, gv, gb = np.full(n_terms, 1e-8), np.full(n_terms, 1e-8), 1e-8
+    for epoch in range(epochs):
         order = random.permutation(n)
         for at in range(0, n, BATCH):
             batch = order[at : at + BATCH]
-            at_terms, row = _segments([texts[k] for k in batch])
-            mine = v[at_terms]
-            total = np.zeros((len(batch), factors))
-            np.add.at(total, row, mine)
-            square = np.zeros((len(batch), factors))
-            np.add.at(square, row, mine * mine)
-            margin = b + np.bincount(row, weights=w[at_terms], minlength=len(batch)) + 0.5 * (total**2 - square).sum(axis=1)
+            terms, row, starts, having = _batch([texts[k] for k in batch])
+            mine = v[terms]
+            total, alone = np.zeros((len(batch), factors)), np.zeros(len(batch))
+            if len(terms):
+                total[having] = np.add.reduceat(mine, starts, axis=0)
+                alone[having] = np.add.reduceat(w[terms] - 0.5 * (mine * mine).sum(axis=1), starts)
+            margin = b + alone + 0.5 * (total * total).sum(axis=1)
             error = (_probability(margin) - labels[batch]) / len(batch)
-            db = error.sum()
-            gb += db * db
-            b -= RATE * db / math.sqrt(gb)
-            touched, local = np.unique(at_terms, return_inverse=True)
-            dw = np.bincount(local, weights=error[row], minlength=len(touched)) + SHRINK * w[touched]
-            dv = np.zeros((len(touched), factors))
-            np.add.at(dv, local, error[row][:, None] * (total[row] - mine))
-            dv += SHRINK_V * v[touched]
+            per_term = error[row]
+            touched = np.flatnonzero(np.bincount(terms, minlength=n_terms))
+            dw = np.bincount(terms, per_term, n_terms)[touched]
             gw[touched] += dw * dw
-            gv[touched] += dv * dv
-            w[touched] -= RATE * dw / np.sqrt(gw[touched])
-            v[touched] -= RATE_V * dv / np.sqrt(gv[touched])
-    return Model(terms, b, w, v)
-
-
-def _features(limit: int):
-    """A function for mapInArrow: (id, label, text) to (id, label, terms); a term is its hash less 2**31."""
+            step = RATE / np.sqrt(gw[touched])
+            moved = w[touched] - step * dw
+            w[touched] = np.sign(moved) * np.maximum(0.0, np.abs(moved) - step * settings.pull)
+            if epoch >= epochs // 6:
+                slope = per_term[:, None] * (total[row] - mine)
+                dv = np.stack([np.bincount(terms, slope[:, k], n_terms)[touched] for k in range(factors)], axis=1)
+                gv[touched] += (dv * dv).mean(axis=1)
+                step = settings.rate_v / np.sqrt(gv[touched])
+                moved = v[touched] - step[:, None] * dv
+                size = np.sqrt((moved * moved).sum(axis=1))
+                v[touched] = moved * np.maximum(0.0, 1 - step * settings.pull_v / np.maximum(size, 1e-12))[:, None]
+            gb += error.sum() ** 2
+            b -= RATE * error.sum() / math.sqrt(gb)
+    return b, w, v
+
+
+def chosen_settings(texts: list[np.ndarray], labels: np.ndarray, n_terms: int, factors: int) -> Settings:
+    """The settings whose machine, fitted on two thirds of the texts (TRIAL_ROWS at most), has the least log-loss on the other third."""
+    place = np.random.default_rng(11).permutation(len(texts))
+    fitted, judged = np.flatnonzero(place % 3 > 0), np.flatnonzero(place % 3 == 0)
+    fitted = fitted[np.argsort(place[fitted])][:TRIAL_ROWS]
+    if labels[fitted].sum() in (0, len(fitted)) or not len(judged):
+        return SETTINGS[0]
+    losses = []
+    for settings in SETTINGS:
+        made = Model(np.zeros(0, np.int64), *machine([texts[k] for k in fitted], labels[fitted], n_terms, settings, factors, _epochs(len(fitted), ROWS_SEEN // 3)))
+        p = np.clip(_probability(made.margins([texts[k].tolist() for k in judged])), 1e-6, 1 - 1e-6)
+        losses.append(-np.where(labels[judged] == 1, np.log(p), np.log(1 - p)).mean())
+    return SETTINGS[int(np.argmin(losses))]
+
+
+def train(texts: list[np.ndarray], labels: np.ndarray, terms: np.ndarray, factors: int = FACTORS) -> Model:
+    """texts: positions in terms; labels: 0 or 1."""
+    n, positive = len(texts), int(labels.sum())
+    if positive in (0, n):
+        share = positive / n if n else 0.0
+        return Model(np.zeros(0, np.int64), math.log(max(share, 1e-9) / max(1 - share, 1e-9)), np.zeros(0), np.zeros((0, factors)))
+    return Model(terms, *machine(texts, labels, len(terms), chosen_settings(texts, labels, len(terms), factors), factors))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for text in batch.column(2).to_pylist():
-                got: set[int] = set()
-                for word in set(WORD.findall(text.lower())):
-                    got.update(term_hashes(word))
-                found.append([h - HALF for h in sorted(got)[:limit]])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "label", "terms"])
 
-    return run
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, label, text) to (id, label, terms); a term is its hash less 2**31."""
+    for batch in batches:
+        found = []
+        for text in batch.column(2).to_pylist():
+            got: set[int] = set()
+            for word in set(WORD.findall(text.lower())):
+                got.update(term_hashes(word))
+            found.append([h - HALF for h in sorted(got)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["id", "label", "terms"])
 
 
-def _chosen(features: DataFrame, least_rows: int, least_chi2: float, most_terms: int) -> np.ndarray:
+def _chosen(features: DataFrame, least_rows: int, least_chi2: float, most_terms: int, common_terms: int) -> np.ndarray:
     """The sorted hashes of the model's terms; features: (id, label, terms)."""
     n, positive = features.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
     if positive in (0, n):
@@ -156,11 +203,10 @@ def _chosen(features: DataFrame, least_rows: int, least_chi2: float, most_terms:
     counted = features.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("label").alias("ones"))
     spread = F.col("df") * share * (1 - share) * (1 - F.col("df") / n)
     chi2 = F.coalesce(F.try_divide((F.col("ones") - F.col("df") * share) ** 2, spread), F.lit(0.0))
-    scored = cut(counted.withColumn("chi2", chi2).where((F.col("df") >= least_rows) & (F.col("chi2") >= min(least_chi2, COMMON_CHI2))))
-    best = [F.col("chi2").desc(), "term"]
-    strong = scored.where(F.col("chi2") >= least_chi2).orderBy(*best).limit(most_terms)
-    common = scored.where((F.col("chi2") < least_chi2) & (F.col("df") >= COMMON_SHARE * n) & (F.col("chi2") >= COMMON_CHI2)).orderBy(*best).limit(COMMON_TERMS)
-    return np.sort(np.array([r[0] for r in strong.union(common).select("term").collect()], np.int64)) + HALF
+    scored = cut(counted.withColumn("chi2", chi2).where(F.col("df") >= least_rows))
+    common = scored.orderBy(F.col("df").desc(), "term").limit(common_terms)
+    strong = scored.where(F.col("chi2") >= least_chi2).orderBy(F.col("chi2").desc(), "term").limit(most_terms)
+    return np.array(sorted({r[0] for r in common.union(strong).select("term").collect()}), np.int64) + HALF
 
 
 def _positions(terms: np.ndarray):
@@ -179,15 +225,15 @@ def _positions(terms: np.ndarray):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, train_terms: int = TRAIN_TERMS, least_rows: int = LEAST_ROWS, least_chi2: float = LEAST_CHI2, most_terms: int = MOST_TERMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", train_rows: int = TRAIN_ROWS, least_rows: int = LEAST_ROWS, least_chi2: float = LEAST_CHI2, most_terms: int = MOST_TERMS, common_terms: int = COMMON_TERMS) -> Model:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).cast("long").alias("id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     sample = known.orderBy(F.md5(F.col("id").cast("string")), "id").limit(train_rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
     texts = texts.groupBy("id", "label").agg(F.min("text").alias("text"))
     schema = "id long, label int, terms array<int>"
-    features = cut(texts.select("id", "label", "text").mapInArrow(_features(train_terms), schema))
-    terms = _chosen(features, least_rows, least_chi2, most_terms)
+    features = cut(texts.select("id", "label", "text").mapInArrow(_features, schema))
+    terms = _chosen(features, least_rows, least_chi2, most_terms, common_terms)
     got = features.mapInArrow(_positions(terms), schema).toArrow().sort_by("id")
     rows = [np.asarray(r, np.int64) for r in got.column("terms").to_pylist()]
     return train(rows, got.column("label").to_numpy().astype("f8"), terms)
