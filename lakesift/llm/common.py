@@ -12,18 +12,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the checkpoint folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it's unset the context's.
 
-    The folder is spark.checkpoint.dir; only where neither that nor a folder of
-    the context is set (tests) a temporary one is made.
+    A session on one machine (tests) gets a temporary one if it has neither; on a cluster that's an error, as executors
+    can't see the driver's folders.
     """
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if found:
+        return found
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="lakesift-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of df, written to the folder that the cluster shares."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakesift-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -11,7 +11,10 @@ comparison of all pairs, less those that can't be close.
 
 A tile pair doesn't hand on the close pairs themselves, which grow with the square of a
 group of near copies, but a spanning forest of them: at most one edge a fingerprint.
-Components are found over the forests of all tile pairs.
+Components are found over the forests of all tile pairs. A node there is a fingerprint with the smallest id of its documents, in the
+order of that id, so a component's root names it and no rows are ever gathered by component.
+Fingerprints that over a thousandth of the documents share, of which there are a thousand at most, are joined to their
+documents by broadcast, the others by fingerprint.
 
 The tile size follows the number of distinct fingerprints, so that the number of
 tiles stays about `TILES`, within memory bounds. What is sent to a task is two tiles;
@@ -34,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import cut, shuffle_partitions, table
+from lakesift.llm.common import cut, shuffle_partitions, table, whole_row
 from lakesift.llm.components import components
 
 SHINGLE = 4
@@ -43,6 +46,8 @@ RADIUS = 4
 TILES = 24
 LEAST_TILE, MOST_TILE = 2048, 131072
 BLOCK = 256
+#: A fingerprint that more than one in so many documents have is joined by broadcast; so there are fewer than this.
+HOT_SHARE = 1000
 #: Rows of the table of tile pairs (40 bytes each) up to which it is broadcast.
 BROADCAST_PAIRS = 500_000
 
@@ -111,7 +116,7 @@ def _order(fps: np.ndarray) -> np.ndarray:
 
 
 def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (fp, fp) of a spanning forest of the close pairs in left x right, or in left x left."""
+    """Edges of a spanning forest of the close pairs in left x right, or in left x left, as positions in both arrays, the left one first."""
     fps = left if right is None else np.concatenate([left, right])
     forest = _Forest(len(fps))
     one = np.arange(len(left))[_order(left)]
@@ -140,11 +145,11 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
             forest.join(a[apart], b[apart])
     roots = forest.roots()
     moved = np.flatnonzero(roots != np.arange(len(fps)))
-    return fps[moved], fps[roots[moved]]
+    return moved, roots[moved]
 
 
 def _tiles(distinct: DataFrame, tile: int) -> DataFrame:
-    """(tile, fps as bytes, low, high): distinct (fp, bits) sorted by population count, in tiles of `tile` rows.
+    """(tile, fps and ids as bytes): distinct (fp, none, least, bits) sorted by population count, in tiles of `tile` rows.
 
     Rows are numbered within buckets of a population count and a hash, each of which is a part
     of a tile's size, so no task holds more than that; a tile is never mixed from two population counts.
@@ -156,24 +161,29 @@ def _tiles(distinct: DataFrame, tile: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[np.ndarray]] = {}
         for batch in batches:
-            bits, part, fp = (batch.column(k).to_numpy() for k in range(3))
+            bits, part, *node = (batch.column(k).to_numpy() for k in range(5))
+            node = np.column_stack(node)
             order = np.lexsort((part, bits))
-            bits, part, fp = bits[order], part[order], fp[order]
-            starts = np.flatnonzero(np.concatenate([[True], (bits[1:] != bits[:-1]) | (part[1:] != part[:-1])])) if len(fp) else []
-            for a, b in zip(starts, [*starts[1:], len(fp)]):
-                held.setdefault((int(bits[a]), int(part[a])), []).append(fp[a:b])
+            bits, part, node = bits[order], part[order], node[order]
+            starts = np.flatnonzero(np.concatenate([[True], (bits[1:] != bits[:-1]) | (part[1:] != part[:-1])])) if len(node) else []
+            for a, b in zip(starts, [*starts[1:], len(node)]):
+                held.setdefault((int(bits[a]), int(part[a])), []).append(node[a:b])
         for (bits, part), found in held.items():
+            nodes = np.concatenate(found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([bits], pa.int32()), pa.array([part], pa.int64()), pa.array([np.sort(np.concatenate(found)).tobytes()], pa.binary())],
-                names=["bits", "part", "fps"],
+                [pa.array([bits], pa.int32()), pa.array([part], pa.int64()), pa.array([nodes[np.argsort(nodes[:, 0])].tobytes()], pa.binary())],
+                names=["bits", "part", "nodes"],
             )
 
-    spread = dealt.select("bits", "part", "fp").repartition("bits", "part")
-    return spread.mapInArrow(pack, "bits int, part long, fps binary")
+    spread = dealt.select("bits", "part", "fp", "none", "least").repartition("bits", "part")
+    return spread.mapInArrow(pack, "bits int, part long, nodes binary")
 
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a spanning forest, by tile pair, of all pairs of fingerprints at most radius bits apart; distinct: (fp)."""
+    """(a, b): a spanning forest, by tile pair, of all pairs of fingerprints at most radius bits apart; distinct: (fp, none, least).
+
+    a and b are nodes: none (1 if the fingerprint's documents have no id, else 0), least (the smallest id, else 0) and fp.
+    """
     distinct = cut(distinct.withColumn("bits", F.bit_count("fp").cast("int")))
     tile = min(MOST_TILE, max(LEAST_TILE, distinct.count() // TILES))
     tiles = cut(_tiles(distinct, tile))
@@ -182,33 +192,48 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     other = tiles.select(F.col("bits").alias("bits2"), F.col("part").alias("part2"))
     pairs = tiles.select("bits", "part", within.alias("bits2")).join(other, "bits2")
     pairs = pairs.where((F.col("bits") < F.col("bits2")) | (F.col("part") <= F.col("part2")))
-    pairs = cut(pairs.withColumn("same", (F.col("bits") == F.col("bits2")) & (F.col("part") == F.col("part2"))).withColumn("pair", F.monotonically_increasing_id()))
+    same = (F.col("bits") == F.col("bits2")) & (F.col("part") == F.col("part2"))
+    pairs = cut(pairs.withColumn("same", same).withColumn("pair", F.struct("bits", "part", "bits2", "part2")))
     n_pairs = pairs.count()
     sent = F.broadcast(pairs) if n_pairs <= BROADCAST_PAIRS else pairs
     tasks = max(1, min(n_pairs, 4 * shuffle_partitions(distinct.sparkSession)))
-    left = tiles.join(sent, ["bits", "part"]).select("pair", "same", F.col("fps").alias("one"))
-    names = tiles.select(F.col("bits").alias("bits2"), F.col("part").alias("part2"), "fps")
-    right = names.join(sent.where(~F.col("same")), ["bits2", "part2"]).select("pair", F.col("fps").alias("two"))
+    left = tiles.join(sent, ["bits", "part"]).select("pair", F.col("nodes").alias("one"))
+    names = tiles.select(F.col("bits").alias("bits2"), F.col("part").alias("part2"), "nodes")
+    right = names.join(sent.where(~F.col("same")), ["bits2", "part2"]).select("pair", F.col("nodes").alias("two"))
     ready = left.repartition(tasks, "pair").join(right.repartition(tasks, "pair"), "pair", "left").select("one", "two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for one, two in zip(batch.column(0), batch.column(1)):
-                left, right = (x.as_buffer() for x in (one, two))
-                a, b = compare(np.frombuffer(left, np.uint64), None if right is None else np.frombuffer(right, np.uint64), radius)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+                left, right = (None if x is None else np.frombuffer(x, np.int64).reshape(-1, 3) for x in (one.as_buffer(), two.as_buffer()))
+                a, b = compare(_fps(left), None if right is None else _fps(right), radius)
+                nodes = left if right is None else np.concatenate([left, right])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[k][:, c]) for k in (a, b) for c in range(3)], names=[f"{e}_{c}" for e in "ab" for c in ("fp", "none", "least")])
+
+    found = ready.mapInArrow(run, ", ".join(f"{e}_{c} long" for e in "ab" for c in ("fp", "none", "least")))
+    node = {e: F.struct(*[F.col(f"{e}_{c}").alias(c) for c in ("none", "least", "fp")]).alias(e) for e in "ab"}
+    return found.select(node["a"], node["b"]).distinct()
+
 
-    return ready.mapInArrow(run, "a long, b long").distinct()
+def _fps(nodes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(nodes[:, 0]).view(np.uint64)
 
 
 def _components(prints: DataFrame, radius: int) -> DataFrame:
-    """prints with component_id; prints: a table with the columns doc_id and fp that is cheap to read again."""
-    smallest = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(smallest.select("fp"), radius))
-    rooted = smallest.join(roots, smallest["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp")
+    """prints with root (a fingerprint) and component_id; prints: a table with the columns doc_id and fp that is cheap to read again."""
+    smallest = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    nodes = smallest.select("fp", F.col("least").isNull().cast("long").alias("none"), F.coalesce("least", F.lit(0)).alias("least"))
+    roots = components(links(nodes, radius)).select(F.col("node")["fp"].alias("fp"), F.col("root").alias("top"))
+    top = F.col("top")
+    component = F.when(top.isNull(), F.col("least")).when(top["none"] == 0, top["least"])
+    named = cut(smallest.join(roots, "fp", "left").select("fp", F.coalesce(top["fp"], "fp").alias("root"), component.alias("component_id"), "copies"))
+    total, most = smallest.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    limit = max(1, total // HOT_SHARE)
+    few, many = named.where(F.col("copies") <= limit).drop("copies"), named.where(F.col("copies") > limit).drop("copies")
+    if most <= limit:
+        return prints.join(few, "fp")
+    rest = prints.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(few, "fp")
+    return rest.unionByName(prints.join(F.broadcast(many), "fp"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -221,18 +246,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Equal rows of that id and text are reduced to one.
     """
-    text, mark = F.coalesce(F.col(text_col), F.lit("")), "_md5"
+    text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     prints = cut(_prints_with_digest(keyed))
     placed = _components(prints, radius)
     chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("best"))
-    chosen = chosen.select(F.col("best")["doc_id"].alias("_id"), F.col("best")["digest"].alias("_digest"))
-    marked = docs.withColumn(mark, F.md5(text))
-    same = marked[id_col].cast("long").eqNullSafe(chosen["_id"]) & (marked[mark] == chosen["_digest"])
-    kept = marked.join(chosen, same, "left_semi")
+    chosen = chosen.select(F.col("best")["doc_id"].alias("best_id"), F.col("best")["digest"].alias("best_digest"))
+    # The rows travel as one column, so no name of theirs can clash.
+    marked = docs.select(whole_row(docs).alias("row"), F.col(id_col).cast("long").alias("id"), F.md5(text).alias("digest"))
+    kept = marked.join(chosen, marked["id"].eqNullSafe(chosen["best_id"]) & (marked["digest"] == chosen["best_digest"]), "left_semi")
     if not prints.groupBy("doc_id", "digest").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates([id_col, mark])
-    return kept.drop(mark)
+        kept = kept.dropDuplicates(["id", "digest"])
+    return kept.select("row.*")
 
 
 def _prints_with_digest(keyed: DataFrame) -> DataFrame:
