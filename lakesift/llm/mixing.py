@@ -19,7 +19,7 @@ running sums inside a bucket start from the sum of the buckets before it.
 
 Defined cases: a null text has size 0; a null source is a source of its own that
 comes last; a source whose size is 0 has target 0; a null id counts as an empty
-one; equal (id, source, size) rows are interchangeable, each gets its own share
+one; a document without words that isn't taken has no position; equal (id, source, size) rows are interchangeable, each gets its own share
 of the stream and its own output row; an empty table gives an empty result;
 columns other than the three that are named are not looked at.
 """
@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import cut, id_text, md5_long, table, text_or_empty
+from lakesift.llm.common import cut, id_text, md5_long, table, text_or_empty, whole_row
 
 WEIGHTS = (5, 2, 1)
 #: Start and end of each source's weight over training time, repeating like WEIGHTS.
@@ -124,7 +124,7 @@ def _uses(rows: DataFrame, copy: Column) -> DataFrame:
     last = F.col("epochs") - F.when(F.col("first_word") < F.col("rest"), 0).otherwise(1)
 
     def time(turn: Column) -> Column:
-        return F.round(position(F.col("start"), F.col("end"), (turn * source_size + F.col("first_word")) / F.nullif(words, F.lit(0))), 6)
+        return position(F.col("start"), F.col("end"), (turn * source_size + F.col("first_word")) / F.nullif(words, F.lit(0)))
 
     return rows.withColumn("positions", F.when(F.col("taken") > 0, F.transform(F.sequence(F.lit(0).cast("long"), last), time)))
 
@@ -148,26 +148,33 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     A source's last document is the only one that can be taken in part. Documents that aren't taken go. Equal (id, source, size)
     rows take their places in the stream in order of the MD5 of the text. The columns stay as they were.
     """
-    kept = docs.columns
-    key = ["_id", "_source", "_size"]
     wanted = F.when(F.col("size") > 0, F.round(F.col("taken") / F.nullif(F.col("size"), F.lit(0)))).otherwise(0).cast("int")
     streams = _streams(docs, id_col, text_col, source_col, weights, schedules, budget, max_epochs, rows_per_bucket)
     # Of equal rows the first is taken most.
-    streams = _uses(streams, F.lit(0)).where(wanted > 0).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.struct("size", "copies", "source_size", "target", "start", "end", "base").alias("_stream"),
-    )
-    sized = docs.withColumn("_words", word_count(text_or_empty(text_col)))
-    same = sized[id_col].eqNullSafe(streams["_id"]) & sized[source_col].eqNullSafe(streams["_source"]) & (sized["_words"] == streams["_size"])
-    place = F.when(F.col("_stream")["copies"] > 1, F.row_number().over(Window.partitionBy(*key).orderBy(F.md5(text_or_empty(text_col)))) - 1).otherwise(0)
-    joined = sized.join(streams, same).withColumn("_place", place.cast("long")).select(F.struct(*kept).alias("_row"), "_place", "_stream.*")
-    used = _uses(joined, F.col("_place")).where(wanted > 0).select("_row", F.explode(F.slice("positions", F.lit(1), wanted)).alias("_position"))
-    used = used.select("_row.*", "_position")
-    return used.repartitionByRange("_position", id_col).sortWithinPartitions("_position", id_col).select(*kept)
+    streams = _uses(streams, F.lit(0)).where(wanted > 0)
+    streams = streams.select("doc_id", "source", "size", F.struct("size", "copies", "source_size", "target", "start", "end", "base").alias("stream"))
+    # The rows travel as one column, so no name of theirs can clash.
+    text = text_or_empty(text_col)
+    sized = docs.select(whole_row(docs).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("origin"), word_count(text).alias("words"), F.md5(text).alias("digest"))
+    same = sized["id"].eqNullSafe(streams["doc_id"]) & sized["origin"].eqNullSafe(streams["source"]) & (sized["words"] == streams["size"])
+    order = Window.partitionBy("id", "origin", "words").orderBy("digest")
+    place = F.when(F.col("stream")["copies"] > 1, F.row_number().over(order) - 1).otherwise(0).cast("long")
+    joined = sized.join(streams, same).select("row", "id", place.alias("place"), "stream.*")
+    used = _uses(joined, F.col("place")).where(wanted > 0).select("row", "id", F.explode(F.slice("positions", F.lit(1), wanted)).alias("position"))
+    return used.repartitionByRange("position", "id").sortWithinPartitions("position", "id").select("row.*")
+
+
+COLUMNS = ["doc_id", "size", "source_size", "target", "taken", "uses", "position", "last_position"]
+
+
+def digest(found: DataFrame) -> DataFrame:
+    """The rows of mix with the number of a document's uses and the time of the last one in place of the list."""
+    uses = F.when(F.col("taken") > 0, F.size("positions")).otherwise(0).alias("uses")
+    return found.withColumns({"uses": uses, "last_position": F.element_at("positions", -1)}).select(*COLUMNS)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return digest(mix(table(spark, sf_dir, "documents")))
 
 
 OP5_SQL = f"""
@@ -206,8 +213,11 @@ taking AS (
   SELECT *, coalesce(words // nullif(source_size, 0), 0) AS epochs FROM placed),
 took AS (
   SELECT *, (epochs * size + greatest(0, least(size, words - epochs * source_size - first_word)))::BIGINT AS taken,
-         first_word::DOUBLE / nullif(words, 0) AS share FROM taking)
-SELECT doc_id, size, source_size, target, taken,
-       CASE WHEN taken > 0 THEN round(CASE WHEN s0 = s1 THEN share ELSE (sqrt(s0 * s0 + (s1 * s1 - s0 * s0) * share) - s0) / (s1 - s0) END, 6) END AS position
-FROM took
+         epochs + (first_word < words - epochs * source_size)::BIGINT AS uses FROM taking),
+shares AS (
+  SELECT *, first_word::DOUBLE / nullif(words, 0) AS share, ((uses - 1) * source_size + first_word)::DOUBLE / nullif(words, 0) AS last_share FROM took)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN uses ELSE 0 END::INTEGER AS uses,
+       CASE WHEN taken > 0 THEN CASE WHEN s0 = s1 THEN share ELSE (sqrt(s0 * s0 + (s1 * s1 - s0 * s0) * share) - s0) / (s1 - s0) END END AS position,
+       CASE WHEN taken > 0 THEN CASE WHEN s0 = s1 THEN last_share ELSE (sqrt(s0 * s0 + (s1 * s1 - s0 * s0) * last_share) - s0) / (s1 - s0) END END AS last_position
+FROM shares
 """

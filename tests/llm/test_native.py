@@ -124,26 +124,39 @@ def test_mixing(spark, name, per_bucket):
     assert all(0 <= r["taken"] <= 2 * r["size"] and ((r["position"] is not None) == (r["taken"] > 0)) for r in got)
     positions = [r["position"] for r in got if r["position"] is not None]
     assert positions == sorted(positions) and all(0 <= p <= 1 for p in positions)
-    names = ["doc_id", "size", "source_size", "target", "taken", "position"]
-    assert rows_of(mixing.mix(df, rows_per_bucket=per_bucket), names) == by_sql(mixing.OP5_SQL, df)
-
+    for r in got:
+        assert r["taken"] == 0 or sorted(r["positions"]) == r["positions"] and r["positions"][0] == r["position"]
+    assert rows_of(mixing.digest(mixing.mix(df, rows_per_bucket=per_bucket)), mixing.COLUMNS) == by_sql(mixing.OP5_SQL, df)
+
+
+@pytest.mark.parametrize("budget", [1.5, 2.0, 0.7])
+def test_curriculum_follows_the_schedule(spark, budget):
+    """The words of all uses follow the integral of a weight that falls from 3 to 1, to 1% at each quarter."""
+    df = documents(spark, [(k, "w " * (k % 5 + 1), "a") for k in range(3000)])
+    uses = [(p, r["size"]) for r in mixing.mix(df, budget=budget).collect() for p in r["positions"] or []]
+    words = sum(n for _, n in uses)
+    assert words == pytest.approx(budget * 9000, abs=5)
+    for t in (0.25, 0.5, 0.75):
+        assert sum(n for p, n in uses if p <= t) / words == pytest.approx((3 * t - t * t) / 2, abs=0.01)
 
-def test_curriculum_follows_the_schedule(spark):
-    """Of a source whose weight falls from 3 to 1, the first half of training takes more than half, as the integral says.
 
-    The stream is one and a half times the documents, so that share of it holds one and a half times that share of their first uses.
-    """
-    df = documents(spark, [(k, "w", "a") for k in range(3000)])
-    early = [r["position"] for r in mixing.mix(df).collect()]
-    share = sum(p <= 0.5 for p in early) / len(early)
-    assert share == pytest.approx(1.5 * (3 * 0.5 - 2 * 0.125) / 2, abs=0.02)
+def test_two_sources_share_time_by_their_schedules(spark):
+    """Of two sources, one that begins strong and one that doesn't change, each quarter of time has the words that the integrals ask."""
+    df = documents(spark, [(k, "w", "ab"[k % 2]) for k in range(4000)])
+    uses = [(p, r["source"]) for r in mixing.mix(df, weights=(1,), schedules=((3.0, 1.0), (1.0, 1.0))).collect() for p in r["positions"] or []]
+    for source, integral in (("a", lambda t: (3 * t - t * t) / 2), ("b", lambda t: t)):
+        mine = [p for p, s in uses if s == source]
+        for t in (0.25, 0.5, 0.75):
+            assert sum(p <= t for p in mine) / len(mine) == pytest.approx(integral(t), abs=0.01)
 
 
 def test_mixed_documents(spark):
-    df = documents(spark, MIXES["plain"]).withColumn("size", F.lit("clash"))
+    df = documents(spark, MIXES["plain"])
+    names = ("size", "_size", "_position", "_id", "_copies", "_words", "row", "id", "words", "position", "stream", "place", "taken", "base")
+    df = df.withColumns({c: F.lit("clash") for c in names})
     out = mixing.mixed(df)
-    assert out.columns == df.columns
-    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(df.drop("size")).collect()}
+    assert out.columns == df.columns and {r["_words"] for r in out.collect()} == {"clash"}
+    taken = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix(documents(spark, MIXES["plain"])).collect()}
     counts = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     for key, (words, size) in taken.items():
         assert abs(counts.get(key, 0) * size - words) <= size / 2 + 1
