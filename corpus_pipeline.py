@@ -1,18 +1,21 @@
 """A corpus pipeline: toxic documents go, one of each group of near copies stays, sources are mixed, texts are encoded.
 
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet and read
-again as the next stage's docs. All but the last return the columns of documents.
+again as the next stage's docs, in the folder that the cluster shares. All but the last return the columns of documents.
+
+Defined cases: a null or empty text is a text without words: it isn't toxic, it's a near copy of other such texts, and
+mixing leaves it out, as it has no words to take; a null source is a source of its own; equal rows are near copies of each other; an
+empty table gives an empty result; further columns of documents are carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesift.llm import bpe, mixing, simhash, toxicity
-from lakesift.llm.common import table
+from lakesift.llm.common import shared_folder, table
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lakesift-")
+    folder = shared_folder(spark)
     docs = table(spark, sf_dir, "documents")
     name = uuid.uuid4().hex
     for k, (_, stage) in enumerate(STAGES):
