@@ -415,12 +415,90 @@ def test_main_text_beside_an_article_stays(spark):
 def test_classes_nest(spark):
     rows = [(k, "http://foo.example.org/a", f"<html><body><div class='box'><p>{'x</p><p>' * (k % 3)}{k}</p></div>" + "<ul><li>a</ul>" * (k % 2) + "</body></html>") for k in range(12)]
     df = pages(spark, rows).withColumn("host", html_template.host_of(F.col("url")))
-    found = {tuple(r["paths"]): r for r in html_template.nested(html_template.classes(df, 3, 0.4)).collect()}
+    found = {tuple(r["paths"]): r for r in html_template.nested(html_template.classes(html_template.counted(df, 3), 3, 0.4)).collect()}
     inner = next(r for p, r in found.items() if ">html>body>ul" in p)
     outer = next(r for p, r in found.items() if ">html>body" in p)
     assert inner["parent"] == outer["class"] and outer["pages"] == 12 and inner["pages"] == 6
 
 
+UNNAMED = """<html><body><div class="q1"><ul><li><a href="/a">Home {k}</a></li><li><a href="/b">More {k}</a></li></ul></div>
+<div class="z9">Buy this thing number {k} now</div><h1>Headline {k}</h1><div class="k3"><div class="k4"><p>Story {k} goes on like this for a while, as stories do.</p>
+<p>It has a second paragraph, number {k}, and that one is longer than what stands around it, which is how a main text is known from what goes with it on a page that names none of its parts {k}.</p><p>Read also what we wrote</p></div></div><div class="z8">Host text for page {k}</div></body></html>"""
+
+
+def unnamed_text(k):
+    return f"Headline {k}\nStory {k} goes on like this for a while, as stories do.\nIt has a second paragraph, number {k}, and that one is longer than what stands around it, which is how a main text is known from what goes with it on a page that names none of its parts {k}."
+
+
+def test_the_template_decides_where_nothing_is_named(spark):
+    """Without deduction the menu, the advert, the host's line and the line on all pages stay."""
+    df = pages(spark, [(k, "http://foo.example.org/a", UNNAMED.format(k=k * k)) for k in range(8)])
+    got = {r["page_id"]: r["text"] for r in html_template.extract(df).collect()}
+    assert got == {k: unnamed_text(k * k) for k in range(8)}
+    off = {r["page_id"]: r["text"] for r in html_template.extract(df, least_pages=10**9).collect()}
+    assert all(off[k].count("\n") == 7 and "Buy this" in off[k] and "Home" in off[k] for k in range(8))
+    assert {r["content"] for r in html_template.templates(df.withColumn("host", html_template.host_of(F.col("url")))).collect()} == {">html>body>div.k#>div.k#"}
+
+
+def test_a_line_on_all_pages_goes_from_a_marked_article_but_copies_stay(spark):
+    page = "<html><body><nav>N</nav><article><p>{a}</p><p>{b}</p><p>Read also what we wrote</p></article></body></html>"
+    long = "This sentence is as long as a sentence in an article may well be"
+    rows = [(k, "http://foo.example.org/a", page.format(a=f"{long} {k}", b=f"{k} {long}")) for k in range(6)]
+    rows += [(10 + k, "http://copies.example.org/a", page.format(a=long, b=f"edit {k}")) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, rows)).collect()}
+    assert got == {k: f"{long} {k}\n{k} {long}" for k in range(6)} | {10 + k: f"{long}\nedit {k}\nRead also what we wrote" for k in range(6)}
+
+
+@pytest.mark.parametrize("n", [1, 6])
+@pytest.mark.parametrize("name", ["class='related-work'", "class='ad-hoc'", "class='menu-prices'", "id='social-history'", "class='x'"])
+def test_names_that_hold_a_word_of_furniture_stay_in_the_article(spark, name, n):
+    page = "<html><body><div class='ad'>Buy</div><article><p>Story {k}</p><section {name}><p>Section {k}</p></section><div class='post-comments'><p>Nice {k}</p></div></article></body></html>"
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, [(k, "http://foo.example.org/a", page.format(k=k, name=name)) for k in range(n)])).collect()}
+    assert got == {k: f"Story {k}\nSection {k}" for k in range(n)}
+
+
+@pytest.mark.parametrize("n", [1, 6])
+def test_main_with_a_teaser(spark, n):
+    page = "<html><body><main><article class='teaser'><p>Teaser {k}</p></article><p>A long paragraph that says {k} what the page is about.</p></main></body></html>"
+    got = {r["page_id"]: r["text"] for r in html_template.extract(pages(spark, [(k, "http://foo.example.org/a", page.format(k=k)) for k in range(n)])).collect()}
+    assert got == {k: f"Teaser {k}\nA long paragraph that says {k} what the page is about." for k in range(n)}
+
+
+def test_classes_are_those_of_counted_occurrence_vectors(spark):
+    """Classes and their shares by plain counting: a vector for each token of a host over its distinct pages."""
+    rng = np.random.default_rng(3)
+    parts = ["<nav><p>menu</p></nav>", "<div class='a'><p>hello</p></div>", "<ul><li>x<li>y</ul>", "<div class='b'><h2>t</h2><p>same</p></div>", "<footer>f</footer>"]
+    rows = []
+    for k in range(40):
+        body = "".join(x * int(rng.integers(0, 3)) for x in parts)
+        rows.append((k, f"http://h{k % 2}.example.org/", f"<html><body>{body}<p>{k // 3}</p></body></html>"))
+    df = pages(spark, rows).withColumn("host", html_template.host_of(F.col("url")))
+    got = {}
+    for r in html_template.classes(html_template.counted(df, 3), 3, 0.3).collect():
+        got.setdefault((r["host"], r["class"]), set()).add((r["path"], r["token"], r["furniture"]))
+    expected = set()
+    for h in (0, 1):
+        distinct = {}
+        for k, _, page in rows:
+            if k % 2 == h:
+                said, tokens = html_template.page_tokens(page)
+                distinct[said] = min(distinct.get(said, (1 << 64, None)), (xxhash.xxh64_intdigest(page.encode()) >> 1, {t: x[0] for t, x in tokens.items()}), key=lambda x: x[0])
+        seen = [t for _, t in distinct.values()]
+        vectors = {t: tuple(p.get(t, 0) if t in p else -1 for p in seen) for t in {t for p in seen for t in p}}
+        n_pages = {t: sum(t in p for p in seen) for t in vectors}
+        alike = {}
+        for t, v in vectors.items():
+            if n_pages[t] >= 3:
+                alike.setdefault(v, set()).add(t)
+        for group in alike.values():
+            if len(group) >= 2:
+                around = {t: max((n_pages[u] for u in n_pages if u[1] == 0 and n_pages[u] >= 3 and u[0] == (t[0] if t[1] else t[0].rpartition(">")[0])), default=None) for t in group}
+                valid = {t for t in group if around[t] is not None and n_pages[t] >= 0.3 * around[t]}
+                if valid:
+                    expected.add((f"h{h}.example.org", frozenset(valid)))
+    assert {(h, frozenset(x)) for (h, _), x in got.items()} == expected and len(expected) > 4
+
+
 @pytest.mark.parametrize(
     ("page", "texts"),
     [
