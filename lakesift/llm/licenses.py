@@ -8,18 +8,21 @@ positions.
 
 * A base phrase stands where its own diagonal holds all of its pairs.
 * A notice may have words put in or left out, which moves its votes to
-  neighbouring diagonals: each diagonal is merged with those up to `drift` away, and
-  the notice is found where the merged votes cover at least `coverage` of it.
+  neighbouring diagonals: each diagonal is merged with those up to `drift` away. The
+  notice is found where the merged votes cover at least `coverage` of it as a span.
 
 Spans are verified: a vote counts only if both words equal the template's, so a
-hash collision never counts, and a base phrase's place is exact.
+hash collision never counts, and a base phrase's place is exact. Merged votes count as far
+as they're in order: what counts is the longest chain of them in which template positions rise
+with the text's words, so the words of a notice in another order aren't the notice.
 
 Main path: DataFrame functions only. The template table is fixed (a few hundred
-pairs) and broadcast; texts aren't shuffled, only the votes are. A sentinel pair
-after the words carries texts without any vote.
+pairs) and broadcast; texts aren't shuffled, only the votes are, counted by document and text first, so
+repeated rows add nothing. A sentinel pair after the words carries texts without any vote. Documents are told
+apart by id and the MD5 of the text, which a task that runs again finds alike.
 
 Defined cases: a null text is empty (no words, labels empty strings, score 0);
-equal rows are scanned separately and each gives a row; texts of any length are
+equal rows each give a row; texts of any length are
 read whole; an empty table gives an empty result; columns other than the id and the
 text aren't looked at.
 """
@@ -28,7 +31,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakesift.llm.common import table, text_or_empty
@@ -87,27 +90,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
     # Only the Kelvin sign turns into an ASCII letter under lower(); everything else that lower() changes stays non-ASCII.
     plain = F.lower(F.replace(text_or_empty(text_col), F.lit("\u212a"), F.lit("\u0137")))
     words = F.array_remove(F.split(plain, SEPARATORS), "")
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
+    docs = docs.select(F.col(id_col).alias("doc_id"), F.md5(text_or_empty(text_col)).alias("digest"), words.alias("words"))
     tail = F.array(F.lit(SENTINEL), F.lit(SENTINEL))
-    sized = docs.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.concat("words", tail).alias("words"))
+    doc = ["doc_id", "digest", "n_words"]
+    sized = docs.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), F.concat("words", tail).alias("words"))
     rolled = F.arrays_zip(F.col("words").alias("word"), F.slice("words", 2, F.size("words")).alias("next"))
-    pairs = sized.select("row", "doc_id", "n_words", F.posexplode(rolled).alias("start", "pair"))
-    pairs = pairs.select("row", "doc_id", "n_words", "start", F.col("pair")["word"].alias("word"), F.col("pair")["next"].alias("next"))
+    pairs = sized.select(*doc, F.posexplode(rolled).alias("start", "pair"))
+    pairs = pairs.select(*doc, "start", F.col("pair")["word"].alias("word"), F.col("pair")["next"].alias("next"))
     templates = F.broadcast(_templates(docs.sparkSession, base, notices))
     votes = pairs.join(templates, (F.xxhash64("word", "next") == F.col("t_hash")) & (F.col("word") == F.col("t_word")) & (F.col("next") == F.col("t_next")))
-    doc = ["row", "doc_id", "n_words"]
     what = [*doc, "template", "label", "is_base", "pairs"]
-    bit = F.expr("shiftleft(1L, at)")
-    # Votes are dealt out by document once; what follows keeps a document's rows where they are.
-    dealt = votes.select(*what, (F.col("start") - F.col("at")).cast("long").alias("diagonal"), bit.alias("bit")).repartition("row")
-    diagonals = dealt.groupBy(*what, "diagonal").agg(F.bit_or("bit").alias("seen"))
+    votes = votes.groupBy(*what, "start", "at").agg(F.count(F.lit(1)).alias("copies"))
     # No neighbourhood of diagonals covers more than all diagonals together.
-    reach = F.bit_count(F.bit_or("seen").over(Window.partitionBy("row", "template"))) / F.col("pairs")
-    diagonals = diagonals.withColumn("reach", reach).where(F.col("is_base") | (F.col("reach") >= coverage)).drop("reach")
+    reach = F.bit_count(F.bit_or(F.expr("shiftleft(1L, at)")).over(Window.partitionBy(*doc, "template"))) / F.col("pairs")
+    votes = votes.withColumn("reach", reach).where(F.col("is_base") | (F.col("reach") >= coverage))
     near = F.when(F.col("is_base"), F.array(F.lit(0))).otherwise(F.sequence(F.lit(-drift), F.lit(drift)))
-    merged = diagonals.withColumn("off", F.explode(near)).groupBy(*what, (F.col("diagonal") + F.col("off")).alias("diagonal")).agg(F.bit_or("seen").alias("seen"))
-    covered = F.bit_count("seen") / F.col("pairs")
-    found = merged.withColumn("covered", F.when(F.col("template") >= 0, covered).otherwise(0.0))
+    diagonal = (F.col("start") - F.col("at") + F.col("off")).cast("long").alias("diagonal")
+    # A diagonal's votes are few: at most a template's pairs times its neighbours.
+    merged = votes.withColumn("off", F.explode(near)).groupBy(*what, diagonal).agg(
+        F.bit_or(F.expr("shiftleft(1L, at)")).alias("seen"), F.array_sort(F.collect_list(F.struct(F.col("start"), (-F.col("at")).alias("back")))).alias("hits"), F.max("copies").alias("copies")
+    )
+    ordered = F.when(F.bit_count("seen") >= coverage * F.col("pairs"), _in_order(F.col("hits"), F.col("pairs"))).otherwise(0)
+    found = merged.withColumn("covered", F.when(F.col("template") >= 0, ordered / F.col("pairs")).otherwise(0.0))
     full = F.col("is_base") & (F.col("covered") == 1.0)
     good = full | (~F.col("is_base") & (F.col("covered") >= coverage))
 
@@ -115,14 +119,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=B
         return F.array_join(F.array_sort(F.collect_set(F.when(which, F.col("label")))), ",")
 
     place = F.when(full, F.col("diagonal"))
-    return found.groupBy(*doc).agg(
+    scored = found.groupBy(*doc).agg(
         F.count_if(full).alias("n_base"),
         F.min(place).alias("first_word"),
         F.max(place).alias("last_word"),
         joined(full).alias("base_labels"),
         joined(good).alias("labels"),
         F.max(F.when(good, F.col("covered")).otherwise(0.0)).alias("score"),
-    ).drop("row")
+        F.max(F.when(F.col("template") < 0, F.col("copies"))).alias("copies"),
+    )
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return scored.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).drop("copy")
+
+
+def _in_order(hits: Column, pairs: Column) -> Column:
+    """The length of the longest chain of hits in which words of the text and template positions rise; hits: (start, -at), sorted.
+
+    For each template position, the longest chain so far that ends there. Hits of one start come with the last position first, so they never follow each other.
+    """
+
+    def longer(best: Column, hit: Column) -> Column:
+        before = F.coalesce(F.array_max(F.slice(best, F.lit(1), -hit["back"])), F.lit(0))
+        return F.transform(best, lambda x, at: F.when(at == -hit["back"], F.greatest(x, before + 1)).otherwise(x))
+
+    return F.array_max(F.aggregate(hits, F.array_repeat(F.lit(0), pairs), longer))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,13 +159,17 @@ docs AS (
   FROM documents),
 places AS (SELECT rid, words, unnest(range(0, len(words)::BIGINT - 1)) AS p FROM docs),
 votes AS (
-  SELECT rid, template, label, is_base, pairs, pos, p - pos AS diagonal
+  SELECT rid, template, label, is_base, pairs, pos, p, p - pos AS diagonal
   FROM places JOIN templates ON words[p + 1] = t_word AND words[p + 2] = t_next),
 moved AS (
-  SELECT rid, template, label, is_base, pairs, pos, diagonal + unnest(CASE WHEN is_base THEN [0] ELSE range(-{DRIFT}, {DRIFT + 1}) END) AS diagonal FROM votes),
-merged AS (
-  SELECT rid, label, is_base, diagonal, count(DISTINCT pos)::DOUBLE / pairs AS covered
+  SELECT rid, template, label, is_base, pairs, pos, p, diagonal + unnest(CASE WHEN is_base THEN [0] ELSE range(-{DRIFT}, {DRIFT + 1}) END) AS diagonal FROM votes),
+grouped AS (
+  SELECT rid, label, is_base, diagonal, pairs, count(DISTINCT pos) AS seen, list([p, -pos]::BIGINT[] ORDER BY p, -pos) AS hits
   FROM moved GROUP BY rid, template, label, is_base, pairs, diagonal),
+merged AS (
+  SELECT rid, label, is_base, diagonal, CASE WHEN seen < {COVERAGE} * pairs THEN 0 ELSE list_max(list_reduce(hits,
+    lambda best, hit: list_transform(best, lambda x, k: CASE WHEN k = 1 - hit[2] THEN greatest(x, 1 + coalesce(list_max(best[1:-hit[2]]), 0)) ELSE x END),
+    list_transform(range(pairs::BIGINT), lambda x: 0::BIGINT))) END::DOUBLE / pairs AS covered FROM grouped),
 found AS (SELECT *, is_base AND covered = 1 AS whole, covered >= CASE WHEN is_base THEN 1 ELSE {COVERAGE} END AS good FROM merged),
 summed AS (
   SELECT rid, count(*) FILTER (whole) AS n_base, min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word,

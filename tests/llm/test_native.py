@@ -43,6 +43,10 @@ LICENSE_TEXTS = [
     "mit",
     "the the of the software " * 400 + "cc BY",
     "apacheé license apache licenseé apache license",
+    "under the MIT license released under",
+    "is licensed under the apache license version 2 0 and licensed, licensed under it",
+    "licensed under the really very new Apache License, Version 2.0",
+    "the apache license version 2 0 licensed under",
 ]
 
 
@@ -69,6 +73,7 @@ def test_licenses(spark):
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
     labels = {r["doc_id"]: r["labels"] for r in got.collect()}
+    assert labels[13] == "mit" and labels[16] == "apache" and "apache-notice" in labels[14] and "apache-notice" in labels[15]
     assert "mit-notice" in labels[0] and "apache-notice" in labels[4] and "gpl-notice" in labels[5]
     names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     assert rows_of(got, names) == by_sql(licenses.op4_sql(), documents(spark, rows))
