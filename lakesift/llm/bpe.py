@@ -8,8 +8,11 @@ of its white-space-separated words, one after the other. The steps:
    every text as the numbers of its words in order (the positions).
 2. The blocks' distinct words are dealt out by hash of the word, so equal words of all
    blocks meet in one task, which encodes each distinct word once.
-3. The ids come back to each block by a join on the block, and are joined to positions by the word's
-   number. Ids are joined to their pieces for the decoded text.
+3. The ids come back to each block by a join on the block. A block's distinct words are decoded there by `pieces_of`, a hash join
+   of their ids with the table of ids and pieces; `decode` runs the same join over any table of ids. Ids and pieces are then joined to
+   positions by the word's number.
+
+A block's number is a hash of what it holds, so a task that runs again finds the same one, and two blocks that share it are alike.
 
 A word reaches the shuffle once a block, however often it stands there, so a frequent word makes no
 large group. Texts are shuffled once, packed; both of their uses read that one exchange.
@@ -34,7 +37,6 @@ import public_tokenizers
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakesift.llm.common import shuffle_partitions, table
 
@@ -71,7 +73,7 @@ class _Numbered(dict):
         return n
 
 
-def _packed_block(block: int, ids: list, sizes: list[int], positions: array, words: _Numbered) -> pa.RecordBatch:
+def _packed_block(ids: list, sizes: list[int], positions: array, words: _Numbered) -> pa.RecordBatch:
     """One row. Words are numbered anew, the most frequent first, so that the numbers compress well and don't hang on the order of rows."""
     at, listed = np.frombuffer(positions, np.uint32), list(words)
     counts = np.bincount(at, minlength=len(listed))
@@ -82,28 +84,27 @@ def _packed_block(block: int, ids: list, sizes: list[int], positions: array, wor
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, rows.schema) as out:
         out.write_batch(rows)
-    cells = [block, sink.getvalue().to_pybytes(), _planes(place[at]), _press(b"\n".join(listed[k] for k in order))]
+    cells = [sink.getvalue().to_pybytes(), _planes(place[at]), _press(b"\n".join(listed[k] for k in order))]
+    cells.insert(0, int.from_bytes(hashlib.md5(b"".join(cells)).digest()[:8], "big", signed=True))
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, [pa.int64(), *[pa.binary()] * 3])], names=["block", "rows", "positions", "words"])
 
 
 def _pack(block_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, words, positions, ids, sizes, held = TaskContext.get().partitionId() << 32, _Numbered(), array("I"), [], [], 0
+        words, positions, ids, sizes, held = _Numbered(), array("I"), [], [], 0
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
                 text = text.as_py() or b""
                 if held and held + len(text) > block_bytes:
-                    yield _packed_block(block, ids, sizes, positions, words)
-                    block, words, positions, ids, sizes, held = block + 1, _Numbered(), array("I"), [], [], 0
+                    yield _packed_block(ids, sizes, positions, words)
+                    words, positions, ids, sizes, held = _Numbered(), array("I"), [], [], 0
                 found = text.split()  # the white space of bytes: U+0009 to U+000D and U+0020
                 positions.extend(map(words.__getitem__, found))
                 ids.append(key)
                 sizes.append(len(found))
                 held += len(text)
         if ids:
-            yield _packed_block(block, ids, sizes, positions, words)
+            yield _packed_block(ids, sizes, positions, words)
 
     return pack
 
@@ -173,21 +174,22 @@ def _joined(sent, full: bool):
 
     def join(packed: pa.Table, lists: pa.Table) -> pa.Table:
         pieces = _pieces(sent.value)
-        digits = [str(k) for k in range(len(pieces))]
+        digits = [str(k) for k in range(pieces.num_rows)]
         out = []
+        parts = [tuple(map(_numbers, cells)) for cells in zip(*(lists.column(c).to_pylist() for c in ("numbers", "sizes", "ids")))]
+        numbers, lengths, word_ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
+        said = pieces_of(word_ids, pieces).to_pylist()
+        word_ids, ends = word_ids.tolist(), np.cumsum(lengths, dtype=np.int64).tolist()
         for rows, positions, words in zip(*(packed.column(c).to_pylist() for c in ("rows", "positions", "words"))):
             count = len(_open(words).split())
             sizes = np.full(count, -1, np.int64)
             as_ids, as_text = [""] * count, [""] * count
-            for numbers, n, ids in zip(*(lists.column(c).to_pylist() for c in ("numbers", "sizes", "ids"))):
-                numbers, n, ids = _numbers(numbers).tolist(), _numbers(n), _numbers(ids).tolist()
-                sizes[numbers] = n
-                at = 0
-                for number, size in zip(numbers, n.tolist()):
-                    mine = ids[at : at + size]
-                    at += size
-                    as_ids[number] = " ".join([digits[k] for k in mine])
-                    as_text[number] = " ".join([pieces[k] for k in mine])
+            sizes[numbers] = lengths
+            at = 0
+            for number, end in zip(numbers.tolist(), ends):
+                as_ids[number] = " ".join([digits[k] for k in word_ids[at:end]])
+                as_text[number] = " ".join(said[at:end])
+                at = end
             if (sizes < 0).any():
                 raise ValueError("a word of a block has no ids")
             listed, positions = pa.ipc.open_stream(rows).read_all(), _numbers(positions)
@@ -213,10 +215,17 @@ def _joined(sent, full: bool):
     return join
 
 
-def _pieces(content: str) -> list[str]:
-    """The piece of each id."""
+def _pieces(content: str) -> pa.Table:
+    """(token, piece) of each id of the vocabulary, a fixed table."""
     tokenizer = _tokenizer(content)
-    return [tokenizer.id_to_token(k) or "" for k in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+    n = tokenizer.get_vocab_size(with_added_tokens=True)
+    return pa.table({"token": pa.array(range(n), pa.int32()), "piece": pa.array([tokenizer.id_to_token(k) or "" for k in range(n)], pa.string())})
+
+
+def pieces_of(ids: np.ndarray, pieces: pa.Table) -> pa.ChunkedArray:
+    """The piece of each id, null for ids that the vocabulary hasn't: a hash join of (at, token) with (token, piece), put back in order."""
+    asked = pa.table({"at": pa.array(np.arange(len(ids))), "token": pa.array(ids.astype(np.int32))})
+    return asked.join(pieces, "token", join_type="left outer", use_threads=False).sort_by("at").column("piece")
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, full: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -235,20 +244,28 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     return packed.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(_joined(sent, full), schema)
 
 
-def piece_table(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
-    """(token, piece): one row for each id of the vocabulary, a fixed table."""
+def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, decoded): the pieces of each row's ids, by the join with the table of pieces, joined by one space.
+
+    Null or no ids give an empty text, ids that the vocabulary hasn't are left out; no shuffle.
+    """
     with open(tokenizer or public_tokenizers.path(TOKENIZER), encoding="utf-8") as file:
-        pieces = _pieces(file.read())
-    return spark.createDataFrame(list(enumerate(pieces)), "token int, piece string")
+        sent = encoded.sparkSession.sparkContext.broadcast(file.read())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _pieces(sent.value)
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+            ids = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
+            found, at, out = pieces_of(np.where((ids < 0) | (ids >= pieces.num_rows), -1, ids), pieces).to_pylist(), 0, []
+            for n in sizes.tolist():
+                out.append(" ".join([x for x in found[at : at + n] if x is not None]))
+                at += n
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "decoded"])
 
-def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, decoded): the pieces of each row's ids, by a join on the id, put back in order and joined by one space."""
-    rows = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(ids_col).alias("ids"))
-    rows = rows.select("row", "doc_id", F.posexplode_outer("ids").alias("at", "token"))
-    named = rows.join(F.broadcast(piece_table(encoded.sparkSession, tokenizer)), "token", "left")
-    put = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("at", "piece"))))
-    return named.groupBy("row", "doc_id").agg(F.array_join(put["piece"], " ").alias("decoded")).drop("row")
+    key = encoded.schema[id_col].dataType.simpleString()
+    return encoded.selectExpr(f"`{id_col}` as doc_id", f"`{ids_col}` as ids").mapInArrow(run, f"doc_id {key}, decoded string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
