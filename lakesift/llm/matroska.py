@@ -97,10 +97,27 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, in
         at = stop
 
 
+def _inside(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """(id, where the content begins, where it ends) of elements whose size must be known."""
+    for name, start, begin, stop in elements(data, at, end):
+        if stop is None:
+            raise Malformed(f"element {name:X} of unknown size at byte {start}")
+        yield name, begin, stop
+
+
 def _uint(data: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise Malformed(f"number of {end - at} bytes at byte {at}")
     return int.from_bytes(data[at:end], "big")
 
 
+def _long(value: int, at: int) -> int:
+    """The value, if a signed long holds it."""
+    if not -(1 << 63) <= value < 1 << 63:
+        raise Malformed(f"number out of range at byte {at}")
+    return value
+
+
 def _float(data: bytes, at: int, end: int) -> float:
     if end - at not in (0, 4, 8):
         raise Malformed(f"bad float at byte {at}")
@@ -153,9 +170,10 @@ def _block(media: Media, data: bytes, at: int, end: int, base: int, key: bool |
     lacing = flags >> 1 & 3
     step = media.tracks.get(track, {}).get("default_duration", 0)
     begin = (base + relative) * media.scale
+    _long(begin + 255 * step, at)
     whole, here = bool(flags & 0x80) if key is None else key, len(media.clusters) - 1
     for k, (offset, size) in enumerate(_lace(data, at + 3, end, lacing)):
-        media.packets.append((track, begin + k * step, offset, size, whole, lacing, here))
+        media.packets.append((track, _long(begin, at) + k * step, offset, size, whole, lacing, here))
 
 
 def _cluster(media: Media, data: bytes, start: int, at: int, end: int | None, limit: int) -> int:
@@ -172,7 +190,7 @@ def _cluster(media: Media, data: bytes, start: int, at: int, end: int | None, li
         elif name == SIMPLE_BLOCK:
             _block(media, data, inner, close, base, None)
         elif name == BLOCK_GROUP:
-            parts = {n: (a, b) for n, _, a, b in elements(data, inner, close)}
+            parts = {n: (a, b) for n, a, b in _inside(data, inner, close)}
             if BLOCK in parts:
                 _block(media, data, *parts[BLOCK], base, REFERENCE_BLOCK not in parts)
     return stop
@@ -180,7 +198,7 @@ def _cluster(media: Media, data: bytes, start: int, at: int, end: int | None, li
 
 def _track(data: bytes, at: int, end: int) -> tuple[int, dict]:
     number, out = 0, {}
-    for name, _, a, b in elements(data, at, end):
+    for name, a, b in _inside(data, at, end):
         if name == TRACK_NUMBER:
             number = _uint(data, a, b)
         elif name == TRACK_TYPE:
@@ -190,7 +208,7 @@ def _track(data: bytes, at: int, end: int) -> tuple[int, dict]:
         elif name == DEFAULT_DURATION:
             out["default_duration"] = _uint(data, a, b)
         elif name == AUDIO:
-            for inner, _, c, d in elements(data, a, b):
+            for inner, c, d in _inside(data, a, b):
                 if inner == SAMPLING_FREQUENCY:
                     out["rate"] = _float(data, c, d)
                 elif inner == CHANNELS:
@@ -210,27 +228,27 @@ def _segment(media: Media, data: bytes, at: int, end: int) -> None:
         if close is None:
             raise Malformed(f"element {name:X} of unknown size at byte {start}")
         if name == INFO:
-            for n, _, a, b in elements(data, inner, close):
+            for n, a, b in _inside(data, inner, close):
                 if n == TIMESTAMP_SCALE:
                     media.scale = _uint(data, a, b)
                 elif n == DURATION:
                     media.duration = _float(data, a, b)
         elif name == TRACKS:
-            media.tracks |= dict(_track(data, a, b) for n, _, a, b in elements(data, inner, close) if n == TRACK_ENTRY)
+            media.tracks |= dict(_track(data, a, b) for n, a, b in _inside(data, inner, close) if n == TRACK_ENTRY)
         elif name == CUES:
-            for n, _, a, b in elements(data, inner, close):
+            for n, a, b in _inside(data, inner, close):
                 if n != CUE_POINT:
                     continue
                 time = 0
-                for m, _, c, d in elements(data, a, b):
+                for m, c, d in _inside(data, a, b):
                     if m == CUE_TIME:
                         time = _uint(data, c, d)
                     elif m == CUE_TRACK_POSITIONS:
-                        got = {x: _uint(data, p, q) for x, _, p, q in elements(data, c, d)}
+                        got = {x: _uint(data, p, q) for x, p, q in _inside(data, c, d) if x in (CUE_TRACK, CUE_CLUSTER_POSITION)}
                         points.append((time, got.get(CUE_TRACK, 0), got.get(CUE_CLUSTER_POSITION, -1)))
         at = close
     known = set(media.clusters)
-    media.cues = [(time * media.scale, track, origin + where, origin + where in known) for time, track, where in points]
+    media.cues = [(_long(time * media.scale, at), track, origin + where, origin + where in known) for time, track, where in points]
 
 
 def demux(data: bytes) -> Media:
@@ -354,8 +372,8 @@ def packet_table(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
     names = ["id", "packet", "track", "timestamp_ns", "offset", "size", "key", "lacing", "cluster", "codec", "error"]
-    types = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-    schema = "id string, packet long, track int, timestamp_ns long, offset long, size long, key boolean, lacing int, cluster int, codec string, error string"
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+    schema = "id string, packet long, track long, timestamp_ns long, offset long, size long, key boolean, lacing int, cluster int, codec string, error string"
     return df.selectExpr(f"cast(`{id_col}` as string) as id", f"`{media_col}` as media").mapInArrow(run, schema)
 
 
