@@ -9,7 +9,9 @@ of tasks, then by query.
 
 The queries grow with the input, so they're never broadcast as a whole: a
 round takes at most `queries_per_round` of them in id order, and there are as many rounds as
-that needs. The broadcast and the running lists are bounded by that parameter.
+that needs. Rows that share an id are reduced to one query in Spark first, so a round's broadcast and the running lists are bounded by
+that parameter. If there are several rounds, each is written to the shared folder and its broadcast is freed before
+the next one begins.
 
 Scores are exact: products run in float64 where no partial sum can reach 2**53,
 and in Python integers otherwise.
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import table
+from lakesift.llm.common import cut, table
 
 K = 5
 QUERY_EVERY = 50
@@ -154,13 +156,17 @@ def _merged(lists: DataFrame, k: int) -> DataFrame:
     return cut_to(halfway, ["query_id"]).select("query_id", "rank", "vec_id", "score")
 
 
-def _tiles(found: pa.Table, scale: float) -> list[tuple[np.ndarray, np.ndarray]]:
+def _queries(rows: DataFrame, scale: float) -> DataFrame:
+    """(vec_id, floors): one query for each id and length of vector, the smallest; vectors with null or non-finite components take no part."""
+    usable = F.col("vec_id").isNotNull() & F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
+    # floor() gives a long, which large components have no place in; beyond 2**52 doubles are whole.
+    floors = F.transform(F.transform("embedding", lambda x: x * scale), lambda x: F.when(F.abs(x) < float(1 << 52), F.floor(x).cast("double")).otherwise(x))
+    return rows.where(usable).select("vec_id", floors.alias("floors")).groupBy("vec_id", F.size("floors").alias("n")).agg(F.min("floors").alias("floors")).select("vec_id", "floors")
+
+
+def _tiles(found: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
-    for ids, block in _by_length(found.column(0).combine_chunks(), found.column(1).combine_chunks(), scale):
-        order = np.lexsort((*block.T[::-1], ids)) if block.shape[1] else np.argsort(ids, kind="stable")
-        ids, block = ids[order], block[order]
-        once = np.concatenate([[True], ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, bool)
-        ids, block = ids[once], block[once]
+    for ids, block in _by_length(found.column(0).combine_chunks(), found.column(1).combine_chunks(), 1.0):
         out += [(ids[at : at + TILE], block[at : at + TILE]) for at in range(0, len(ids), TILE)]
     return out
 
@@ -169,23 +175,25 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector_
     """(query_id, rank, vec_id, score): each query's k best among all rows but its own; is_query is a condition on vec_id."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    asked = rows.where(is_query & F.col("vec_id").isNotNull())
     out, last = None, None
+    asked = _queries(rows.where(is_query), scale)
     while True:
         todo = asked if last is None else asked.where(F.col("vec_id") > last)
         ids = [r[0] for r in todo.select("vec_id").distinct().orderBy("vec_id").limit(queries_per_round).collect()]
         if not ids:
             break
-        last = ids[-1]
-        tiles = _tiles(todo.where(F.col("vec_id") <= last).toArrow(), scale)
-        sent = spark.sparkContext.broadcast(tiles)
+        more, last = len(ids) == queries_per_round, ids[-1]
+        sent = spark.sparkContext.broadcast(_tiles(todo.where(F.col("vec_id") <= last).toArrow()))
 
         def task(batches, sent=sent):
             yield from _search(sent.value, scale, k)(batches)
 
         found = _merged(rows.mapInArrow(task, "query_id long, vec_id long, score long, task int"), k)
+        if more or out is not None:
+            found = cut(found)
+            sent.destroy()
         out = found if out is None else out.unionAll(found)
-        if len(ids) < queries_per_round:
+        if not more:
             break
     if out is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
