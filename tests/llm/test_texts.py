@@ -61,6 +61,19 @@ def test_decoding_joins_pieces(spark):
     assert {r["doc_id"]: r["decoded"] for r in bpe.decode(encoded).collect()} == {r["doc_id"]: r["decoded"] for r in encoded.collect()}
 
 
+def test_decoding_odd_ids(spark):
+    rows = [(1, [0, 5, None, -3, 10**9]), (2, []), (3, None), (4, [7])]
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "doc_id int, ids array<int>")).collect()}
+    assert got == {1: f"{plain.id_to_token(0)} {plain.id_to_token(5)}", 2: "", 3: "", 4: plain.id_to_token(7)}
+
+
+def test_equal_blocks_share_a_number(spark):
+    df = documents(spark, [(1, "a b a"), (2, "c")] * 4).repartition(1)
+    one, two = (sorted(map(tuple, bpe.encode(d, block_bytes=n).collect())) for d, n in ((df, 1), (df, 1 << 20)))
+    assert one == two and len(one) == 8
+
+
 def test_bpe_shuffles_packed_texts_once(spark):
     df = bpe.encode(documents(spark, [(1, "a b")]))
     df.collect()
@@ -288,6 +301,45 @@ def test_packet_table_and_faults(spark):
         matroska.demux(good[:cut])
 
 
+UNKNOWN = b"\x01" + b"\xff" * 7
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        element(matroska.CLUSTER, element(matroska.BLOCK_GROUP, matroska.BLOCK.to_bytes(1, "big") + UNKNOWN + block([b"a"], 0))),
+        element(matroska.TRACKS, element(matroska.TRACK_ENTRY, matroska.AUDIO.to_bytes(1, "big") + UNKNOWN)),
+        element(matroska.TRACKS, matroska.TRACK_ENTRY.to_bytes(1, "big") + UNKNOWN + matroska._number(matroska.TRACK_NUMBER, 1)),
+        element(matroska.INFO, matroska.TIMESTAMP_SCALE.to_bytes(3, "big") + UNKNOWN + b"\x01"),
+        element(matroska.CUES, matroska.CUE_POINT.to_bytes(1, "big") + UNKNOWN),
+        element(matroska.CUES, element(matroska.CUE_POINT, matroska.CUE_TRACK_POSITIONS.to_bytes(1, "big") + UNKNOWN)),
+        element(matroska.INFO, matroska._number(matroska.TIMESTAMP_SCALE, (1 << 64) - 1)) + element(matroska.CLUSTER, matroska._number(matroska.CLUSTER_TIMESTAMP, 1 << 40) + element(matroska.SIMPLE_BLOCK, block([b"a"], 0))),
+        element(matroska.CUES, element(matroska.CUE_POINT, matroska._number(matroska.CUE_TIME, (1 << 64) - 1))) + element(matroska.CLUSTER, b"\xe7\x89" + b"\x01" * 9),
+        element(matroska.CLUSTER, element(matroska.SIMPLE_BLOCK, b"\x01" + b"\x7f" * 7 + b"\x00\x00\x00x")),
+    ],
+)
+def test_malformed_parts_are_errors_not_crashes(spark, inner):
+    data = matroska._HEADER + element(matroska.SEGMENT, element(matroska.CLUSTER, element(matroska.SIMPLE_BLOCK, block([b"fine"], 0))) + inner)
+    rows = matroska.packet_table(spark.createDataFrame([(1, data)], "id long, media binary"), "id", "media").collect()
+    assert rows[0]["error"] is None and rows[0]["size"] == 4
+    assert rows[-1]["error"] or rows[-1]["track"] > 1 << 31
+
+
+def test_feature_by_plain_counting():
+    text = bytes(range(256)) * 20
+    data = matroska.mux(matroska.payload_of(text))
+    payload = matroska.payload_of(text)
+    media = matroska.demux(data)
+    wave = [x - 128 for x in payload]
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(wave, wave[1:]))
+    frames = [payload[k : k + matroska.FRAME] for k in range(0, len(payload), matroska.FRAME)]
+    assert matroska.feature(media, payload) == (
+        f"tracks=1;clusters=1;packets={len(frames)};laced={len(frames)};cues=1;last_ms={(len(frames) - 1) * 32};level={sum(wave)};power={sum(x * x for x in wave)};crossings={crossings}"
+    )
+    # The stored bytes by a reader that knows nothing of the writer: frames are where the packets say, in order.
+    assert [data[p[2] : p[2] + p[3]] for p in media.packets] == frames and data.startswith(b"\x1aE\xdf\xa3")
+
+
 def test_stored_texts(spark):
     rows = [(1, "é" * 40), (2, ""), (3, None), (4, "a" * 64), (1, "é" * 40), (None, "x")]
     got = matroska.stored(documents(spark, rows).withColumn("feature", F.lit("clash"))).collect()
