@@ -33,6 +33,8 @@ class FittedSelector:
     is_discrete: list[bool] | None = None
     classes: list | None = None
     details: dict = field(default_factory=dict)
+    #: The array column whose components the features are.
+    array_col: str | None = None
 
     @property
     def n_features_in(self) -> int:
@@ -47,7 +49,9 @@ class FittedSelector:
         return [k in chosen for k in range(self.n_features_in)]
 
     def transform(self, df: DataFrame, keep: Sequence[str] = (), feature_cols: Sequence[str] | None = None, kind: str = "the selector") -> DataFrame:
-        """The columns in keep, then the selected features. feature_cols: this table's features, where they aren't those of fit."""
+        """The columns in keep, then the selected features (of an array column: that column with the selected components). feature_cols: this table's features, where they aren't those of fit."""
+        if self.array_col is not None:
+            return df.select(*keep, F.array(*[F.get(self.array_col, k) for k in self.top_features]).alias(self.array_col))
         mine = tuple(feature_cols) if feature_cols is not None else tuple(c for c in df.columns if c not in keep) if not set(self.feature_cols) <= set(df.columns) else self.feature_cols
         if len(mine) != self.n_features_in:
             raise ValueError(f"X has {len(mine)} features, but {kind} is expecting {self.n_features_in} features as input.")
@@ -90,7 +94,7 @@ class Selector:
     def clone(self) -> Selector:
         return type(self)(**copy.copy(self.get_params()))
 
-    def fit(self, df: DataFrame, label_col: str, feature_cols: Sequence[str] | None = None, id_col: str | None = None) -> FittedSelector:
+    def fit(self, df: DataFrame, label_col: str, feature_cols: Sequence[str] | str | None = None, id_col: str | None = None) -> FittedSelector:
         self.model = self.fit_frame(FeatureFrame.of(df, label_col, feature_cols, id_col))
         return self.model
 

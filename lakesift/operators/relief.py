@@ -2,12 +2,17 @@
 
 Every row is compared with every other, so work grows with the square of the rows. Two strategies:
 
-* block: the scaled values are broadcast, if they take at most `block_bytes`; each task compares its rows with all
-  others in tiles of a fixed size and hands on one number a feature. Pairs are never rows.
+* block: the scaled values are broadcast, `block_bytes` of them at a time; each task compares its rows with those
+  in tiles of a fixed size. If all values fit into one block, a single pass hands on one number a feature. If they don't, there is a
+  round for each block and pass: the first sums up each row's distances (or keeps the nearest rows of each class), MultiSURF counts
+  each row's near rows in a second, and the last adds up the scores. A round hands on a few numbers a row, or one a feature and task, is written
+  to the shared folder, and its broadcast is freed. Pairs are never rows, and rows aren't shuffled for them.
 * sql: a join on unequal ids. Statistics of a row's distances are aggregated by row, which Spark sums in each task
   before the shuffle, and the pairs are formed again for the scores; so pairs never go through a shuffle.
   The other side is broadcast only if its size allows it; beyond that, Spark deals out both sides.
 
+`auto` is block at every size. All ways give the same scores. Ids must be unique.
+
 Values are divided by their column's range before they're compared. A column is discrete if it has at most
 `discrete_limit` different values; two of those differ by 0 or 1. A distance is the sum over the features.
 Of equal distances the row of the smaller id is nearer.
@@ -19,47 +24,69 @@ import logging
 import math
 import warnings
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakesift.dataset import FeatureFrame
+from lakesift.checkpoints import cut
+from lakesift.dataset import FeatureFrame, matrix
 from lakesift.functions.selection import ranked, selection_count
 from lakesift.operators.base import FittedSelector, Selector, check_strategy
 
 BLOCK_BYTES = 256 << 20
 TILE_CELLS = 1 << 22
+MOST_SQL_FEATURES = 1000
 log = logging.getLogger(__name__)
 
 
 @dataclass
 class Prepared:
-    """rows: (id, y, f0, f1, ...), scaled; y: the label's code."""
+    """rows: (key, y, x), in order of the id: the row's place as an increasing number, its label's code, and its scaled values."""
 
     rows: DataFrame
     n: int
     p: int
     class_rows: list[int]
     discrete: list[bool]
+    active: list[int]
 
     @property
     def bytes(self) -> int:
-        return self.n * (self.p + 2) * 8
+        return self.n * (len(self.discrete) + 2) * 8
+
+    def wide(self) -> DataFrame:
+        """(id, y, f0, f1, ...)"""
+        if self.p > MOST_SQL_FEATURES:
+            raise ValueError(f"strategy='sql' is for at most {MOST_SQL_FEATURES} features")
+        return self.rows.select(F.col("key").alias("id"), "y", *[F.get("x", f).alias(f"f{k}") for k, f in enumerate(self.active)])
+
+    def only(self, active: list[int]) -> Prepared:
+        return replace(self, active=active, p=len(active))
 
 
 def prepare(frame: FeatureFrame, discrete_limit: int, n: int) -> tuple[Prepared, list]:
+    if frame.id_col is None:
+        raise ValueError("rows are compared with each other: an id column is needed")
     classes = frame.classes()
-    found = {r["feature_idx"]: r for r in frame.profile(discrete_limit).collect()}
+    found = {r["feature_idx"]: r for r in frame.ranges(discrete_limit).collect()}
     discrete = [found[k]["is_discrete"] for k in range(frame.n_features)]
     ranges = [1.0 if d or found[k]["high"] == found[k]["low"] else found[k]["high"] - found[k]["low"] for k, d in enumerate(discrete)]
-    if frame.id_col is None:
-        raise ValueError("rows are compared with each other: an id column is needed")
-    scaled = [(F.col(c).cast("double") / F.lit(r)).alias(f"f{k}") for k, (c, r) in enumerate(zip(frame.feature_cols, ranges))]
-    rows = frame.df.select(F.col(frame.id_col).alias("id"), frame.label_code([c for c, _ in classes]).alias("y"), *scaled)
-    return Prepared(rows, n, frame.n_features, [c for _, c in classes], discrete), [c for c, _ in classes]
+    spans = np.array(ranges)
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = pa.array(list(matrix(batch.column(2)) / spans), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), x], names=["id", "y", "x"])
+
+    kind = frame.df.schema[frame.id_col].dataType.simpleString()
+    rows = frame.df.select(F.col(frame.id_col).alias("id"), frame.label_code([c for c, _ in classes]).alias("y"), frame.values().alias("x"))
+    rows = cut(rows.mapInArrow(scale, f"id {kind}, y int, x array<double>").orderBy("id").withColumn("key", F.monotonically_increasing_id()))
+    if rows.select(F.count_distinct("id")).first()[0] != n:
+        raise ValueError(f"{frame.id_col} must be unique and not null: each row is compared with all others")
+    return Prepared(rows.select("key", "y", "x"), n, frame.n_features, [c for _, c in classes], discrete, list(range(frame.n_features))), [c for c, _ in classes]
 
 
 def _difference(k: int, discrete: bool) -> Column:
@@ -69,11 +96,11 @@ def _difference(k: int, discrete: bool) -> Column:
 
 def _pairs(data: Prepared, left: DataFrame) -> DataFrame:
     """left x rows for unequal ids, with d0, d1, ... and dist; left has id and y, and what else is kept as a.*."""
-    other = F.broadcast(data.rows) if data.bytes <= BLOCK_BYTES else data.rows
+    other = F.broadcast(data.wide()) if data.bytes <= BLOCK_BYTES else data.wide()
     spark = data.rows.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, math.ceil(data.n * data.n / 50_000_000))
     joined = left.repartition(tasks, "id").alias("a").join(other.alias("b"), F.col("a.id") != F.col("b.id"))
-    diffs = [_difference(k, d).alias(f"d{k}") for k, d in enumerate(data.discrete)]
+    diffs = [_difference(k, data.discrete[f]).alias(f"d{k}") for k, f in enumerate(data.active)]
     extra = [F.col(f"a.{c}").alias(c) for c in left.columns if c not in ("id", "y") and not c.startswith("f")]
     out = joined.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.y").alias("yi"), F.col("b.y").alias("yj"), *extra, *diffs)
     dist = F.col("d0")
@@ -83,9 +110,9 @@ def _pairs(data: Prepared, left: DataFrame) -> DataFrame:
 
 
 def _with_limits(data: Prepared, limit) -> DataFrame:
-    stats = _pairs(data, data.rows).groupBy("i").agg(F.avg("dist").alias("mean"), F.avg(F.col("dist") * F.col("dist")).alias("square"))
+    stats = _pairs(data, data.wide()).groupBy("i").agg(F.avg("dist").alias("mean"), F.avg(F.col("dist") * F.col("dist")).alias("square"))
     limits = stats.select(F.col("i").alias("id"), limit(F.col("mean"), F.col("square")).alias("lim"))
-    return data.rows.join(limits, "id")
+    return data.wide().join(limits, "id")
 
 
 def _surf_sql(data: Prepared, star: bool) -> list[float]:
@@ -118,90 +145,275 @@ def _class_weight(data: Prepared, k: int, same: Column, yi: Column, yj: Column)
 
 def _relieff_sql(data: Prepared, k: int) -> list[float]:
     order = Window.partitionBy("i", "yj").orderBy("dist", "j")
-    near = _pairs(data, data.rows).select("i", "j", "yi", "yj", "dist", *[f"d{f}" for f in range(data.p)])
+    near = _pairs(data, data.wide()).select("i", "j", "yi", "yj", "dist", *[f"d{f}" for f in range(data.p)])
     near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
     weight = _class_weight(data, k, F.col("yi") == F.col("yj"), F.col("yi"), F.col("yj"))
     row = near.withColumn("w", weight).agg(*[F.sum(F.col(f"d{f}") * F.col("w")) for f in range(data.p)]).first()
     return [(v or 0.0) / data.n for v in row]
 
 
-def _tile(x: np.ndarray, mine: np.ndarray, discrete: list[bool], f: int) -> np.ndarray:
-    """What feature f contributes to the distances of these rows to all."""
-    a, b = x[mine, f][:, None], x[None, :, f]
+def _tile(mine: np.ndarray, others: np.ndarray, discrete: list[bool], f: int) -> np.ndarray:
+    """What feature f contributes to the distances of these rows to others."""
+    a, b = mine[:, f][:, None], others[None, :, f]
     return (a != b).astype(float) if discrete[f] else np.abs(a - b)
 
 
+def _distances(mine: np.ndarray, others: np.ndarray, discrete: list[bool]) -> np.ndarray:
+    dist = np.zeros((len(mine), len(others)))
+    for f in range(mine.shape[1]):
+        dist += _tile(mine, others, discrete, f)
+    return dist
+
+
 def _nearest(dist: np.ndarray, k: int) -> np.ndarray:
-    """Which k columns of each row are nearest, the first of equals."""
+    """Which k columns of each row are nearest, the first of equals; columns that aren't finite never are."""
     if k >= dist.shape[1]:
-        return np.ones(dist.shape, bool)
+        return np.isfinite(dist)
     limit = np.partition(dist, k - 1, axis=1)[:, k - 1 : k]
     near, tied = dist < limit, dist == limit
     lacking = k - near.sum(axis=1, keepdims=True)
-    return near | (tied & (np.cumsum(tied, axis=1) <= lacking))
-
-
-def _weights(kind: str, dist: np.ndarray, mine: np.ndarray, y: np.ndarray, k: int, star: bool) -> np.ndarray:
-    """What each pair of a tile counts in the scores."""
-    n = len(y)
-    rows = np.arange(len(mine))
-    miss = y[mine][:, None] != y[None, :]
-    own = np.zeros_like(miss)
-    own[rows, mine] = True
-    if kind == "relieff":
-        counts = np.bincount(y).astype(float)
-        weight = np.zeros_like(dist)
-        far = dist.copy()
-        far[rows, mine] = np.inf
-        for c, count in enumerate(counts):
-            columns = np.flatnonzero(y == c)
-            hit = y[mine] == c
-            each = np.where(hit, -1.0 / np.minimum(k, counts[y[mine]]), count / np.maximum(1, n - counts[y[mine]]) / k)
-            weight[:, columns] = _nearest(far[:, columns], k) * each[:, None]
-        weight[rows, mine] = 0.0
-        return weight
-    total = dist.sum(axis=1)
-    mean = total / (n - 1)
-    if kind == "surf":
-        near = dist < mean[:, None]
+    return (near | (tied & (np.cumsum(tied, axis=1) <= lacking))) & np.isfinite(dist)
+
+
+@dataclass(frozen=True)
+class _Rule:
+    """What a pair counts in the scores."""
+
+    kind: str
+    k: int
+    star: bool
+    n: int
+    class_rows: tuple[int, ...]
+
+    def limits(self, total: np.ndarray, square: np.ndarray) -> np.ndarray:
+        """How near a near row is, from the sums of a row's distances and of their squares."""
+        mean = total / (self.n - 1)
+        if self.kind == "surf":
+            return mean
+        return mean - np.sqrt(np.maximum(0.0, square / (self.n - 1) - mean * mean)) / 2
+
+    def class_weights(self, y: np.ndarray) -> np.ndarray:
+        """What a neighbour of each class counts for rows of these classes."""
+        counts = np.array(self.class_rows, float)
+        own, hit = counts[y][:, None], np.arange(len(counts))[None, :] == y[:, None]
+        return np.where(hit, -1.0 / np.minimum(self.k, own), counts[None, :] / np.maximum(1, self.n - own) / self.k)
+
+    def weights(self, dist: np.ndarray, miss: np.ndarray, limit: np.ndarray, n_miss: np.ndarray | None = None, n_hit: np.ndarray | None = None) -> np.ndarray:
+        """limit: for each row; dist: not finite for the row itself."""
+        near = dist < limit[:, None]
         sign = np.where(miss, 1.0, -1.0)
-        weight = np.where(near, sign, -sign if star else 0.0)
-    else:
-        spread = np.sqrt(np.maximum(0.0, (dist * dist).sum(axis=1) / (n - 1) - mean * mean))
-        near = (dist < (mean - spread / 2)[:, None]) & ~own
-        n_miss, n_hit = (near & miss).sum(axis=1), (near & ~miss).sum(axis=1)
-        weight = np.where(near & miss, 1.0, -1.0 if star else 0.0) * miss / np.maximum(1, n_miss)[:, None]
-        weight = weight - (near & ~miss) / np.maximum(1, n_hit)[:, None]
-    weight[own] = 0.0
-    return weight
-
-
-def _block(data: Prepared, kind: str, k: int = 0, star: bool = False) -> list[float]:
-    spark = data.rows.sparkSession
-    table = data.rows.orderBy("id").toArrow()
-    x = np.column_stack([table.column(f"f{f}").to_numpy() for f in range(data.p)])
-    y = table.column("y").to_numpy().astype(np.int64)
-    sent, discrete = spark.sparkContext.broadcast((x, y)), list(data.discrete)
+        if self.kind == "surf":
+            weight = np.where(near, sign, -sign if self.star else 0.0)
+        else:
+            misses = np.where(near, 1.0, -1.0 if self.star else 0.0) / np.maximum(1, n_miss)[:, None]
+            weight = np.where(miss, misses, near / -np.maximum(1.0, n_hit)[:, None])
+        return np.where(np.isfinite(dist), weight, 0.0)
+
+
+def _tiled(batches: Iterator[pa.RecordBatch], sent, active: list[int] | None, discrete: list[bool]):
+    """(keys, classes, other columns, distances, their classes and keys, values of both) of each tile; a row's distance to itself is infinite.
+
+    batches: (key, y, x, ...); sent: a block of (keys, classes, values). active: the features that count, if not all do.
+    """
+    keys, y, x = sent.value
+    x = x if active is None else x[:, active]
+    step = max(1, TILE_CELLS // max(1, len(y)))
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            mine = matrix(part.column(2))
+            mine = mine if active is None else mine[:, active]
+            my_keys = part.column(0).to_numpy()
+            dist = _distances(mine, x, discrete)
+            spot = np.searchsorted(keys, my_keys)
+            own = np.take(keys, spot, mode="clip") == my_keys
+            dist[np.flatnonzero(own), spot[own]] = np.inf
+            yield my_keys, part.column(1).to_numpy(), part.columns[3:], dist, y, keys, mine, x
+
+
+def _added(scores: np.ndarray, weight: np.ndarray, mine: np.ndarray, x: np.ndarray, discrete: list[bool]) -> None:
+    for f in range(mine.shape[1]):
+        scores[f] += (weight * _tile(mine, x, discrete, f)).sum()
+
+
+def _by_feature(scores: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(scores)), pa.int32()), pa.array(scores)], names=["f", "score"])
+
+
+def _finite(dist: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(dist), dist, 0.0)
+
+
+class Blocks:
+    """The block strategy over prepared rows. Blocks that are all of the rows are fetched and broadcast once, whichever features count."""
+
+    def __init__(self, data: Prepared, block_bytes: int | None = None) -> None:
+        self.data, self.sent = data, None
+        self.count = math.ceil(data.bytes / (block_bytes or BLOCK_BYTES))
+
+    def _block(self, k: int):
+        """The rows of a block, which are those of a hash, sorted by key."""
+        if self.sent is not None:
+            return self.sent
+        rows = self.data.rows if self.count == 1 else self.data.rows.where(F.pmod(F.xxhash64("key"), F.lit(self.count)) == k)
+        table = rows.toArrow().sort_by("key")
+        values = matrix(table.column("x")) if table.num_rows else np.zeros((0, len(self.data.discrete)))
+        sent = self.data.rows.sparkSession.sparkContext.broadcast((table.column("key").to_numpy(), table.column("y").to_numpy().astype(np.int64), values))
+        if self.count == 1:
+            self.sent = sent
+        return sent
+
+    def close(self) -> None:
+        if self.sent is not None:
+            self.sent.destroy()
+            self.sent = None
+
+    def scores(self, data: Prepared, kind: str, k: int = 0, star: bool = False) -> list[float]:
+        rule = _Rule(kind, k, star, data.n, tuple(data.class_rows))
+        discrete = [data.discrete[f] for f in data.active]
+        active = None if data.p == len(data.discrete) else data.active
+        by_feature = (self._in_one if self.count == 1 else self._in_rounds)(data, rule, active, discrete)
+        return [by_feature.get(f, 0.0) / data.n for f in range(data.p)]
+
+    def _spread(self, rows: DataFrame) -> DataFrame:
+        """Tasks for all cores: comparing a row is much work, holding it is little."""
+        cores = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(min(self.data.n, cores), "key")
+
+    def _in_one(self, data: Prepared, rule: _Rule, active: list[int] | None, discrete: list[bool]) -> dict[int, float]:
+        sent = self._block(0)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            scores = np.zeros(len(discrete))
+            for _, my_y, _, dist, y, _, mine, x in _tiled(batches, sent, active, discrete):
+                if rule.kind == "relieff":
+                    weight, each = np.zeros_like(dist), rule.class_weights(my_y)
+                    for c in range(len(rule.class_rows)):
+                        columns = np.flatnonzero(y == c)
+                        weight[:, columns] = _nearest(dist[:, columns], rule.k) * each[:, c : c + 1]
+                else:
+                    miss, known = my_y[:, None] != y[None, :], _finite(dist)
+                    limit = rule.limits(known.sum(axis=1), (known * known).sum(axis=1))
+                    near = dist < limit[:, None]
+                    weight = rule.weights(dist, miss, limit, (near & miss).sum(axis=1), (near & ~miss).sum(axis=1))
+                _added(scores, weight, mine, x, discrete)
+            yield _by_feature(scores)
+
+        found = self._spread(data.rows).mapInArrow(run, "f int, score double").groupBy("f").agg(F.sum("score").alias("score"))
+        return {r["f"]: r["score"] for r in found.collect()}
+
+    def _round(self, rows: DataFrame, make, schema: str) -> DataFrame:
+        """make(block) over rows for each block, each written and its broadcast freed."""
+        out = None
+        for k in range(self.count):
+            sent = self._block(k)
+            found = cut(rows.mapInArrow(make(sent), schema))
+            sent.destroy()
+            out = found if out is None else out.unionAll(found)
+        return out
+
+    def _in_rounds(self, data: Prepared, rule: _Rule, active: list[int] | None, discrete: list[bool]) -> dict[int, float]:
+        rows = data.rows
+        if rule.kind == "relieff":
+            near = self._round(rows, lambda sent: _nearest_of(sent, rule, active, discrete), "key long, class int, dist double, other long")
+            order = Window.partitionBy("key", "class").orderBy("dist", "other")
+            last = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rule.k)
+            last = last.groupBy("key", "class").agg(F.max(F.struct("dist", "other")).alias("last")).groupBy("key").agg(F.collect_list(F.struct("class", "last.dist", "last.other")).alias("limits"))
+            limited = cut(rows.join(last, "key").select("key", "y", "x", "limits"))
+        else:
+            sums = self._round(rows, lambda sent: _summed(sent, active, discrete), "key long, total double, square double")
+            sums = sums.groupBy("key").agg(F.sum("total").alias("total"), F.sum("square").alias("square"))
+            mean = F.col("total") / (data.n - 1)
+            spread = F.sqrt(F.greatest(F.lit(0.0), F.col("square") / (data.n - 1) - mean * mean))
+            limit = (mean if rule.kind == "surf" else mean - spread / 2).alias("limit")
+            limited = cut(rows.join(sums.select("key", limit), "key").select("key", "y", "x", "limit"))
+            if rule.kind == "multisurf":
+                counts = self._round(limited, lambda sent: _near_counts(sent, active, discrete), "key long, n_miss long, n_hit long")
+                counts = counts.groupBy("key").agg(F.sum("n_miss").alias("n_miss"), F.sum("n_hit").alias("n_hit"))
+                limited = cut(limited.join(counts, "key").select("key", "y", "x", "limit", "n_miss", "n_hit"))
+        found = self._round(limited, lambda sent: _limited_scores(sent, rule, active, discrete), "f int, score double")
+        return {r["f"]: r["score"] for r in found.groupBy("f").agg(F.sum("score").alias("score")).collect()}
+
+
+def _batch(names: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names.split())
+
+
+def _nearest_of(sent, rule: _Rule, active, discrete):
+    """The k nearest rows of each class in a block, for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, y = sent.value
-        scores, step = np.zeros(x.shape[1]), max(1, TILE_CELLS // len(y))
-        for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for at in range(0, len(ids), step):
-                mine = ids[at : at + step]
-                dist = np.zeros((len(mine), len(y)))
-                for f in range(x.shape[1]):
-                    dist += _tile(x, mine, discrete, f)
-                weight = _weights(kind, dist, mine, y, k, star)
-                for f in range(x.shape[1]):
-                    scores[f] += (weight * _tile(x, mine, discrete, f)).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(scores)), pa.int32()), pa.array(scores)], names=["f", "score"])
-
-    tasks = min(data.n, 4 * spark.sparkContext.defaultParallelism)
-    found = spark.range(0, data.n, 1, tasks).mapInArrow(run, "f int, score double").groupBy("f").agg(F.sum("score").alias("score")).collect()
-    by_feature = {r["f"]: r["score"] for r in found}
-    return [by_feature.get(f, 0.0) / data.n for f in range(data.p)]
+        for my_keys, _, _, dist, y, keys, _, _ in _tiled(batches, sent, active, discrete):
+            for c in range(len(rule.class_rows)):
+                columns = np.flatnonzero(y == c)
+                row, col = np.nonzero(_nearest(dist[:, columns], rule.k)) if len(columns) else (np.zeros(0, int),) * 2
+                if len(row):
+                    yield _batch("key class dist other", my_keys[row], np.full(len(row), c, np.int32), dist[row, columns[col]], keys[columns[col]])
+
+    return run
+
+
+def _summed(sent, active, discrete):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for my_keys, _, _, dist, *_ in _tiled(batches, sent, active, discrete):
+            known = _finite(dist)
+            yield _batch("key total square", my_keys, known.sum(axis=1), (known * known).sum(axis=1))
+
+    return run
+
+
+def _near_counts(sent, active, discrete):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for my_keys, my_y, more, dist, y, *_ in _tiled(batches, sent, active, discrete):
+            near, miss = dist < more[0].to_numpy()[:, None], my_y[:, None] != y[None, :]
+            yield _batch("key n_miss n_hit", my_keys, (near & miss).sum(axis=1), (near & ~miss).sum(axis=1))
+
+    return run
+
+
+def _limited_scores(sent, rule: _Rule, active, discrete):
+    """The scores of a block's rows as others, with limits that all blocks gave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = np.zeros(len(discrete))
+        for _, my_y, more, dist, y, keys, mine, x in _tiled(batches, sent, active, discrete):
+            if rule.kind == "relieff":
+                far, last = np.full((len(my_y), len(rule.class_rows)), -np.inf), np.zeros((len(my_y), len(rule.class_rows)), np.int64)
+                for row, limits in enumerate(more[0].to_pylist()):
+                    for limit in limits:
+                        far[row, limit["class"]], last[row, limit["class"]] = limit["dist"], limit["other"]
+                near = (dist < far[:, y]) | ((dist == far[:, y]) & (keys[None, :] <= last[:, y]))
+                weight = near * rule.class_weights(my_y)[:, y]
+            else:
+                weight = rule.weights(dist, my_y[:, None] != y[None, :], *[c.to_numpy() for c in more])
+            _added(scores, weight, mine, x, discrete)
+        yield _by_feature(scores)
+
+    return run
+
+
+@dataclass
+class Scorer:
+    """A scorer's rows, ready to be scored over some of their features."""
+
+    selector: _Relief
+    frame: FeatureFrame
+    data: Prepared
+    classes: list
+    blocks: Blocks | None
+
+    def __call__(self, active: list[int]) -> FittedSelector:
+        """The model over these features only."""
+        names = tuple(self.frame.feature_cols[f] for f in active)
+        m = selection_count(self.selector.n_features_to_select, len(active))
+        if self.selector._needs_classes() and len(self.classes) < 2:
+            return FittedSelector(names, list(range(m)), [0.0] * len(active), None, self.classes, array_col=self.frame.array_col)
+        scores = self.selector._scores(self.data.only(active), self.blocks)
+        return FittedSelector(names, ranked(scores)[:m], scores, [self.data.discrete[f] for f in active], self.classes, array_col=self.frame.array_col)
+
+    def close(self) -> None:
+        if self.blocks is not None:
+            self.blocks.close()
 
 
 @dataclass
@@ -210,31 +422,37 @@ class _Relief(Selector):
     discrete_limit: int = 10
     strategy: str = "auto"
     verbose: bool = False
+    block_bytes: int = BLOCK_BYTES
 
     def _check(self, n: int) -> None:
         pass
 
-    def _scores(self, data: Prepared, block: bool) -> list[float]:
+    def _scores(self, data: Prepared, blocks: Blocks | None) -> list[float]:
+        """By blocks, or in SQL if there are none."""
         raise NotImplementedError
 
     def fit_frame(self, frame: FeatureFrame) -> FittedSelector:
+        scorer = self.scorer(frame)
+        try:
+            return scorer(list(range(frame.n_features)))
+        finally:
+            scorer.close()
+
+    def scorer(self, frame: FeatureFrame) -> Scorer:
+        """Checks and prepares the rows once, for scores over any of the features."""
         check_strategy(self.strategy)
         if isinstance(self.discrete_limit, bool) or not isinstance(self.discrete_limit, int) or self.discrete_limit < 1:
             raise ValueError("discrete_limit must be a positive int")
         n = frame.checked(least_rows=2)
-        m = selection_count(self.n_features_to_select, frame.n_features)
+        selection_count(self.n_features_to_select, frame.n_features)
         self._check(n)
         data, classes = prepare(frame, self.discrete_limit, n)
-        if self._needs_classes() and len(classes) < 2:
-            return FittedSelector(frame.feature_cols, list(range(m)), [0.0] * frame.n_features, None, classes)
-        self._warn(data)
-        block = self.strategy == "block" or (self.strategy == "auto" and data.bytes <= BLOCK_BYTES)
-        if block and data.bytes > BLOCK_BYTES:
-            raise ValueError(f"the values take {data.bytes} bytes, more than block_bytes: use strategy='sql'")
+        if not self._needs_classes() or len(classes) > 1:
+            self._warn(data)
+        blocks = None if self.strategy == "sql" else Blocks(data, self.block_bytes)
         if self.verbose:
-            log.info("%s: %d rows, %d features, strategy %s", type(self).__name__, n, data.p, "block" if block else "sql")
-        scores = self._scores(data, block)
-        return FittedSelector(frame.feature_cols, ranked(scores)[:m], scores, data.discrete, classes)
+            log.info("%s: %d rows, %d features, strategy %s", type(self).__name__, n, data.p, "sql" if blocks is None else f"block, {blocks.count} of them")
+        return Scorer(self, frame, data, classes, blocks)
 
     def _needs_classes(self) -> bool:
         return False
@@ -261,8 +479,8 @@ class ReliefF(_Relief):
         if self.n_neighbors >= min(data.class_rows):
             warnings.warn(f"n_neighbors {self.n_neighbors} is not below the rows of the smallest class ({min(data.class_rows)})", UserWarning, stacklevel=3)
 
-    def _scores(self, data: Prepared, block: bool) -> list[float]:
-        return _block(data, "relieff", self.n_neighbors) if block else _relieff_sql(data, self.n_neighbors)
+    def _scores(self, data: Prepared, blocks: Blocks | None) -> list[float]:
+        return blocks.scores(data, "relieff", self.n_neighbors) if blocks else _relieff_sql(data, self.n_neighbors)
 
 
 @dataclass
@@ -271,8 +489,8 @@ class SURF(_Relief):
 
     use_star: bool = False
 
-    def _scores(self, data: Prepared, block: bool) -> list[float]:
-        return _block(data, "surf", star=self.use_star) if block else _surf_sql(data, self.use_star)
+    def _scores(self, data: Prepared, blocks: Blocks | None) -> list[float]:
+        return blocks.scores(data, "surf", star=self.use_star) if blocks else _surf_sql(data, self.use_star)
 
 
 @dataclass
@@ -281,5 +499,5 @@ class MultiSURF(_Relief):
 
     use_star: bool = False
 
-    def _scores(self, data: Prepared, block: bool) -> list[float]:
-        return _block(data, "multisurf", star=self.use_star) if block else _multisurf_sql(data, self.use_star)
+    def _scores(self, data: Prepared, blocks: Blocks | None) -> list[float]:
+        return blocks.scores(data, "multisurf", star=self.use_star) if blocks else _multisurf_sql(data, self.use_star)

@@ -6,6 +6,7 @@ import warnings
 import numpy as np
 import pytest
 
+from lakesift.operators import relief
 from lakesift.operators.base import FittedSelector, NotFittedError, Selector
 from lakesift.operators.relief import SURF, MultiSURF, ReliefF
 from lakesift.operators.turf import TuRF
@@ -57,22 +58,57 @@ def plain(kind, x, y, limit, k=3, star=False):
     return [s / n for s in scores]
 
 
-@pytest.mark.parametrize("strategy", ["sql", "block"])
+@pytest.mark.parametrize("strategy", ["sql", "block", "rounds", "array"])
 @pytest.mark.parametrize(("kind", "star"), [("relieff", False), ("surf", False), ("surf", True), ("multisurf", False), ("multisurf", True)])
 def test_scores(spark, strategy, kind, star):
     rng = np.random.default_rng(3)
     x = np.column_stack([rng.random(24), rng.integers(0, 3, 24), rng.random(24) * 9, np.full(24, 2.0)])
     y = np.array([0] * 11 + [1] * 9 + [2] * 4)
     df = table(spark, [(*map(float, r), int(c)) for r, c in zip(x, y)])
-    made = {"relieff": lambda: ReliefF(discrete_limit=5, strategy=strategy, n_neighbors=5), "surf": lambda: SURF(discrete_limit=5, strategy=strategy, use_star=star)}
-    scorer = made.get(kind, lambda: MultiSURF(discrete_limit=5, strategy=strategy, use_star=star))()
+    options = {"discrete_limit": 5, "strategy": "sql" if strategy == "sql" else "block"}
+    if strategy == "rounds":
+        options["block_bytes"] = 24 * 6 * 8 // 4  # four rounds a pass
+    made = {"relieff": lambda: ReliefF(n_neighbors=5, **options), "surf": lambda: SURF(use_star=star, **options)}
+    scorer = made.get(kind, lambda: MultiSURF(use_star=star, **options))()
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        got = scorer.fit(df, "y", NAMES, "id")
+        if strategy == "array":
+            got = scorer.fit(df.selectExpr("id", "y", "array(f0, f1, f2, f3) as x"), "y", "x", "id")
+            assert got.transform(df.selectExpr("array(f0, f1, f2, f3) as x")).first()["x"] == [x[0, got.top_features[0]]] and got.selected[0].startswith("x[")
+        else:
+            got = scorer.fit(df, "y", NAMES, "id")
     assert got.feature_importances == pytest.approx(plain(kind, x, y.tolist(), 5, 5, star), abs=1e-9)
     assert got.is_discrete == [False, True, False, True]
 
 
+def test_ids_must_be_unique(spark):
+    """With equal ids the ways would differ: which of the rows is the row itself? So they're refused, at every size."""
+    rows = [(1, 0.0, 0), (1, 1.0, 0), (2, 2.0, 1), (3, 4.0, 1)]
+    for ids in (rows, [(None, 0.0, 0), *rows[1:]]):
+        df = spark.createDataFrame(ids, "id long, f0 double, y int")
+        for strategy in ("auto", "block", "sql"):
+            for scorer in (ReliefF(n_neighbors=1, strategy=strategy), SURF(strategy=strategy)):
+                with pytest.raises(ValueError, match="unique"):
+                    scorer.fit(df, "y", ["f0"], "id")
+
+
+def test_text_ids_and_ties_in_every_way(spark):
+    rows = [(f"r{k:02}", float(k % 2), float(k % 3), k % 2) for k in range(18)]
+    df = spark.createDataFrame(rows, "id string, f0 double, f1 double, y int").repartition(5)
+    for make in (lambda **o: ReliefF(n_neighbors=2, **o), lambda **o: SURF(use_star=True, **o), lambda **o: MultiSURF(**o)):
+        got = [make(**o).fit(df, "y", ["f0", "f1"], "id").feature_importances for o in ({}, {"strategy": "sql"}, {"block_bytes": 150})]
+        assert got[0] == pytest.approx(got[1], abs=1e-12) and got[0] == pytest.approx(got[2], abs=1e-12)
+
+
+def test_elimination_prepares_once(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(relief, "prepare", lambda *a, real=relief.prepare: calls.append(1) or real(*a))
+    df = table(spark, F2)
+    model = TuRF(MultiSURF(strategy="block"), 1, 0.3).fit(df, "y", NAMES, "id")
+    assert len(calls) == 1 and len(model.details["dropped"]) == 3
+    assert TuRF(MultiSURF(), 1, 0.3).fit(df.selectExpr("id", "y", "array(f0, f1, f2, f3) as x"), "y", "x", "id").top_features == model.top_features
+
+
 def test_known_rankings(spark):
     for scorer in (ReliefF(2, 4, n_neighbors=1), SURF(2, 3)):
         model = scorer.fit(table(spark, F1), "y", NAMES, "id")

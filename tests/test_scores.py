@@ -10,6 +10,7 @@ from lakesift.dataset import FeatureFrame
 from lakesift.functions.binning import binned
 from lakesift.functions.information import symmetrical_uncertainty
 from lakesift.functions.selection import ranked, selection_count
+from lakesift.functions import stats
 from lakesift.functions.stats import chi2_sf_value
 from lakesift.operators.base import NotFittedError
 from lakesift.operators.cfs import CFS, prune, search
@@ -51,6 +52,50 @@ def test_survival_function():
     assert chi2_sf_value(11.070497693516351, 5) == pytest.approx(0.05, abs=1e-9)
 
 
+@pytest.mark.parametrize("dof", [2, 3, 20, 21, 22, 999, 1000, 1500, 4999, 9998, 9999])
+def test_survival_function_of_many_classes(spark, dof):
+    """Finite, falling, about a half at the middle, and between its neighbours, whether the degrees are even or odd."""
+    at = np.array([0.0, dof / 2, dof - 2 / 3, dof, dof * 1.5, dof * 4.0])
+    got, less, more = (stats.chi2_sf_values(at, d) for d in (dof, dof - 1, dof + 1))
+    assert np.isfinite(got).all() and got[0] == 1.0 and (np.diff(got) <= 1e-12).all()
+    assert (less <= got + 1e-12).all() and (got <= more + 1e-12).all()
+    if dof > 2:
+        assert got[2] == pytest.approx(0.5, abs=0.02)
+    df = spark.createDataFrame([(float(x),) for x in at], "x double")
+    assert [r[0] for r in df.select(stats.chi2_sf(F.col("x"), dof)).collect()] == pytest.approx(got.tolist(), rel=1e-9, abs=1e-300)
+
+
+def test_chi2_of_many_classes(spark):
+    rows = [(float(1 + (k * 7919) % 13), float(k % 5000), k % 5000) for k in range(10_000)]
+    got = chi2(spark.createDataFrame(rows, "a double, b double, y int"), "y", ["a", "b"]).orderBy("feature_idx").collect()
+    assert all(0 <= r["p_value"] <= 1 and math.isfinite(r["chi2"]) for r in got) and got[0]["p_value"] > 0 and got[1]["p_value"] == 0
+
+
+def test_chi2_of_an_array_column(spark):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 20, (50, 30)).astype(float), rng.integers(0, 3, 50)
+    names = [f"c{k}" for k in range(30)]
+    wide = spark.createDataFrame([(*map(float, r), f"k{c}") for r, c in zip(x, y)], [*names, "y"])
+    arrays = wide.select("y", F.array(*names).alias("x"))
+    one, two = (chi2(df, "y", f).orderBy("feature_idx").collect() for df, f in ((wide, names), (arrays, "x")))
+    assert [r["chi2"] for r in one] == pytest.approx([r["chi2"] for r in two]) and [r["p_value"] for r in one] == pytest.approx([r["p_value"] for r in two])
+    assert two[7]["feature"] == "x[7]"
+    for bad, match in ((F.array(F.lit(1.0), F.lit(None)), "NaN"), (F.array(F.lit(-1.0), F.lit(2.0)), "non-negative"), (F.lit(None).cast("array<double>"), "NaN")):
+        with pytest.raises(ValueError, match=match):
+            chi2(arrays.withColumn("x", bad), "y", "x")
+    with pytest.raises(ValueError, match="one length"):
+        chi2(arrays.withColumn("x", F.when(F.col("y") == "k0", F.array(F.lit(1.0))).otherwise(F.col("x"))), "y", "x")
+
+
+def test_ranges_are_those_of_the_profile(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(float(v), float(v % 7), float(k % 3), k % 2) for k, v in enumerate(rng.integers(0, 500, 900))], "a double, b double, c double, y int").repartition(4)
+    for frame in (FeatureFrame.of(df, "y", ["a", "b", "c"]), FeatureFrame.of(df.selectExpr("y", "array(a, b, c) as x"), "y", "x")):
+        for limit in (1, 2, 3, 6, 7, 10):
+            one = frame.profile(limit).select("feature_idx", "low", "high", "is_discrete")
+            assert sorted(map(tuple, one.collect())) == sorted(map(tuple, frame.ranges(limit).collect()))
+
+
 def test_class_sums(spark):
     df = frame(spark, [(1, 2, 0, 0), (3, 0, 5, 1), (0, 4, 1, 0), (2, 2, 3, 1)], ["f0", "f1", "f2", "y"])
     got = {r["label"]: [r["s0"], r["s1"], r["s2"]] for r in class_sums(FeatureFrame.of(df, "y", ["f0", "f1", "f2"])).collect()}
