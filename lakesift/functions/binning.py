@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakesift.checkpoints import cut
+
 STRATEGIES = ("uniform", "quantile", "kmeans")
 MOST_ROUNDS = 300
+#: Rows up to which one task may hold all values of a column.
+ROWS_AT_ONCE = 1_000_000
 
 
 def uniform_bin(x: Column, low: Column, high: Column, n_bins: int) -> Column:
@@ -25,9 +31,39 @@ def _distinct(edges: list[float]) -> list[float]:
     return [e for k, e in enumerate(edges) if k == 0 or e - edges[k - 1] > 1e-8]
 
 
-def quantile_edges(df: DataFrame, columns: list[str], n_bins: int) -> dict[str, list[float]]:
-    """Edges at the exact quantiles, equal ones once; one aggregation for all columns."""
+def exact_quantiles(df: DataFrame, column: str, at: list[float]) -> list[float]:
+    """Exact quantiles, interpolated between neighbouring ranks, without one task that holds all values.
+
+    Different values are counted and sorted by ranges; the sizes of the ranges tell which of them hold the ranks that are asked for.
+    """
+    counted = df.select(F.col(column).cast("double").alias("x")).where("x is not null").groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    ranged = cut(counted.orderBy("x").withColumn("part", F.spark_partition_id()))
+    sizes = {r["part"]: r["n"] for r in ranged.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    starts, total = {}, 0
+    for part in sorted(sizes):
+        starts[part], total = total, total + sizes[part]
+    if not total:
+        return [None] * len(at)
+    ranks = sorted({r for q in at for r in (math.floor(q * (total - 1)), math.ceil(q * (total - 1)))})
+    needed = [part for part in starts if any(starts[part] <= r < starts[part] + sizes[part] for r in ranks)]
+    offset = F.element_at(F.create_map(*[F.lit(v) for part in needed for v in (part, starts[part])]), F.col("part"))
+    running = F.sum("n").over(Window.partitionBy("part").orderBy("x")) + offset
+    rows = ranged.where(F.col("part").isin(needed)).withColumn("upto", running)
+    wanted = F.filter(F.array(*[F.lit(r) for r in ranks]), lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("n")))
+    by_rank = {r["rank"]: r["x"] for r in rows.select("x", F.explode(wanted).alias("rank")).collect()}
+    out = []
+    for q in at:
+        place = q * (total - 1)
+        low, high = by_rank[math.floor(place)], by_rank[math.ceil(place)]
+        out.append(low + (high - low) * (place - math.floor(place)))
+    return out
+
+
+def quantile_edges(df: DataFrame, columns: list[str], n_bins: int, rows_at_once: int = ROWS_AT_ONCE) -> dict[str, list[float]]:
+    """Edges at the exact quantiles, equal ones once. One aggregation for all columns of a small table, ranks by ranges of values for a larger one."""
     at = [k / n_bins for k in range(n_bins + 1)]
+    if df.count() > rows_at_once:
+        return {c: _distinct(exact_quantiles(df, c, at)) for c in columns}
     row = df.agg(*[F.percentile(F.col(c), F.array(*map(F.lit, at))).alias(f"q{k}") for k, c in enumerate(columns)]).first()
     return {c: _distinct(list(row[k])) for k, c in enumerate(columns)}
 

@@ -8,20 +8,25 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-12
 
 
 def shares(cells: DataFrame) -> DataFrame:
-    """cells with p, px and py: the shares of the cell, of its x and of its y among the rows of the pair."""
-
-    def over(*by: str) -> Column:
-        return F.sum("n").over(Window.partitionBy(*by)).cast("double")
-
-    whole = over("pair")
-    return cells.select("pair", "x", "y", (F.col("n") / whole).alias("p"), (over("pair", "x") / whole).alias("px"), (over("pair", "y") / whole).alias("py"))
+    """cells with p, px and py: the shares of the cell, of its x and of its y among the rows of the pair.
+
+    Margins are sums that tasks begin before the shuffle, joined to the cells by pair and value; so no pair's cells are gathered in one task.
+    """
+    cells = cells.withColumnsRenamed({"x": "cell_x", "y": "cell_y"})
+    mine = cells
+    for name in ("x", "y"):
+        margin = cells.groupBy(F.col("pair").alias(f"{name}_pair"), F.col(f"cell_{name}").alias(name)).agg(F.sum("n").cast("double").alias(f"n{name}"))
+        mine = mine.join(margin, (F.col("pair") == F.col(f"{name}_pair")) & F.col(f"cell_{name}").eqNullSafe(F.col(name)))
+    whole = cells.groupBy(F.col("pair").alias("whole_pair")).agg(F.sum("n").cast("double").alias("whole"))
+    mine = mine.join(whole, F.col("pair") == F.col("whole_pair"))
+    return mine.select("pair", "x", "y", (F.col("n") / F.col("whole")).alias("p"), (F.col("nx") / F.col("whole")).alias("px"), (F.col("ny") / F.col("whole")).alias("py"))
 
 
 def mutual_information(cells: DataFrame, unit: str = "bit") -> DataFrame:

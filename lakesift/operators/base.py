@@ -76,24 +76,28 @@ class FittedSelector:
         return spark.createDataFrame(rows, "feature_idx int, feature string, is_discrete boolean, score double, rank int")
 
 
-class Selector:
-    """A selector is a dataclass of its parameters; fit gives a FittedSelector and keeps it as model."""
-
-    model: FittedSelector | None = None
+class Parameters:
+    """A dataclass of parameters that can be read, set and copied."""
 
     def get_params(self) -> dict:
         return {f.name: getattr(self, f.name) for f in fields(self)}
 
-    def set_params(self, **params) -> Selector:
+    def set_params(self, **params):
         for name, value in params.items():
             if name not in {f.name for f in fields(self)}:
                 raise ValueError(f"no parameter {name}")
             setattr(self, name, value)
         return self
 
-    def clone(self) -> Selector:
+    def clone(self):
         return type(self)(**copy.copy(self.get_params()))
 
+
+class Selector(Parameters):
+    """A selector is a dataclass of its parameters; fit gives a FittedSelector and keeps it as model."""
+
+    model: FittedSelector | None = None
+
     def fit(self, df: DataFrame, label_col: str, feature_cols: Sequence[str] | str | None = None, id_col: str | None = None) -> FittedSelector:
         self.model = self.fit_frame(FeatureFrame.of(df, label_col, feature_cols, id_col))
         return self.model

@@ -1,7 +1,7 @@
 """Cell counts of pairs of columns, and the matrices that come from them.
 
-Strategy sql explodes each row into its pairs and counts cells: counts are summed in each task before the
-shuffle, so what moves is one row for each cell of a task. Strategy gram turns each batch into one-hot
+Strategy sql counts the cells of each pair in each task and sums them by cell; what moves is one row for each cell of a task, and
+values become strings only there. Strategy gram turns each batch into one-hot
 columns and adds up their products, which gives all pairs at once; it suits many columns of few values.
 """
 
@@ -18,51 +18,102 @@ from lakesift.dataset import FeatureFrame
 from lakesift.functions.information import mutual_information
 
 MOST_STATES = 5000
-PAIRS_AT_ONCE = 2000
+#: Cells that a task holds at most before it hands them on.
+HELD_CELLS = 2_000_000
+WIDE = 1 << 31
+
+
+class _Codes:
+    """Numbers the values of a column as they are met in a task; null has a number too."""
+
+    def __init__(self) -> None:
+        self.numbers: dict = {}
+        self.names: list[str | None] = []
+
+    def of(self, column: pa.Array) -> np.ndarray:
+        coded = column.dictionary_encode(null_encoding="encode")
+        values = coded.dictionary
+        spots = np.empty(len(values), np.int64)
+        for k, (value, name) in enumerate(zip(values.to_pylist(), values.cast(pa.string()).to_pylist())):
+            if value not in self.numbers:
+                self.numbers[value] = len(self.names)
+                self.names.append(name)
+            spots[k] = self.numbers[value]
+        return spots[coded.indices.to_numpy()]
 
 
 def cells(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """(pair, x, y, n): pair is the place in the list; values are compared as strings."""
-    parts = None
-    for at in range(0, len(pairs), PAIRS_AT_ONCE):
-        listed = [
-            F.struct(F.lit(k).alias("pair"), F.col(a).cast("string").alias("x"), F.col(b).cast("string").alias("y"))
-            for k, (a, b) in enumerate(pairs[at : at + PAIRS_AT_ONCE], at)
-        ]
-        part = df.select(F.inline(F.array(*listed))).groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-        parts = part if parts is None else parts.unionAll(part)
-    return parts
+    """(pair, x, y, n): pair is the place in the list; x and y are the values as strings."""
+    columns = list(dict.fromkeys(c for pair in pairs for c in pair))
+    index = [(columns.index(a), columns.index(b)) for a, b in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, held, size = [_Codes() for _ in columns], [[] for _ in index], 0
+
+        def merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for pair, found in enumerate(held):
+                if found:
+                    (a, b), (keys, n) = index[pair], merged(found)
+                    x, y = (pa.array(codes[c].names, pa.string()).take(pa.array(k)) for c, k in ((a, keys // WIDE), (b, keys % WIDE)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), pair, np.int32)), x, y, pa.array(n)], names=["pair", "x", "y", "n"])
+
+        for batch in batches:
+            spots = [c.of(column) for c, column in zip(codes, batch.columns)]
+            for pair, (a, b) in enumerate(index):
+                keys, n = np.unique(spots[a] * WIDE + spots[b], return_counts=True)
+                held[pair].append((keys, n))
+                size += len(keys)
+            if size > HELD_CELLS:
+                held = [[merged(found)] if found else [] for found in held]
+                size = sum(len(k) for found in held for k, _ in found)
+                if size > HELD_CELLS // 2:
+                    yield from given()
+                    codes, held, size = [_Codes() for _ in columns], [[] for _ in index], 0
+        yield from given()
+
+    counted = df.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, "pair int, x string, y string, n long")
+    return counted.groupBy("pair", "x", "y").agg(F.sum("n").alias("n"))
 
 
 def gram_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, x, y, n) for all pairs of columns a < b (positions), from products of one-hot matrices."""
-    listed = F.array(*[F.struct(F.lit(k).alias("c"), F.col(c).cast("string").alias("v")) for k, c in enumerate(columns)])
-    found = df.select(F.inline(listed)).distinct().orderBy("c", "v").limit(MOST_STATES + 1).collect()
-    if len(found) > MOST_STATES:
-        raise ValueError(f"more than {MOST_STATES} different values: use strategy='sql'")
-    states = [(r["c"], r["v"]) for r in found]
-    place = [{v: i for i, (c, v) in enumerate(states) if c == k} for k in range(len(columns))]
+    """(a, b, x, y, n) for all pairs of columns a < b (positions), from products of one-hot matrices, which grow as a task meets values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(states), len(states)))
+        codes = [_Codes() for _ in columns]
+        states: list[tuple[int, int]] = []
+        place: list[list[int]] = [[] for _ in columns]
+        total = np.zeros((0, 0))
         for batch in batches:
+            spots = [c.of(column) for c, column in zip(codes, batch.columns)]
+            for k, c in enumerate(codes):
+                for number in range(len(place[k]), len(c.names)):
+                    place[k].append(len(states))
+                    states.append((k, number))
+            if len(states) > MOST_STATES:
+                raise ValueError(f"more than {MOST_STATES} different values: use strategy='sql'")
+            grown = np.zeros((len(states), len(states)))
+            grown[: len(total), : len(total)] = total
+            total = grown
             for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                hot = np.zeros((part.num_rows, len(states)), np.float32)
-                for k, column in enumerate(part.columns):
-                    coded = column.dictionary_encode()
-                    spots = np.array([place[k][v] for v in coded.dictionary.to_pylist()], np.int64)
-                    hot[np.arange(part.num_rows), spots[coded.indices.to_numpy()]] = 1
+                rows = min(4096, batch.num_rows - at)
+                hot = np.zeros((rows, len(states)), np.float32)
+                for k, spot in enumerate(spots):
+                    hot[np.arange(rows), np.array(place[k], np.int64)[spot[at : at + rows]]] = 1
                 total += hot.T @ hot
-        i, j = np.nonzero(np.triu(total, 1))
+        i, j = np.nonzero(total)
+        column, name = np.array([k for k, _ in states], np.int32), pa.array([codes[k].names[n] for k, n in states], pa.string())
+        keep = column[i] < column[j] if len(states) else np.zeros(0, bool)
+        i, j = i[keep], j[keep]
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j].astype(np.int64))], names=["i", "j", "n"])
+            parts = [pa.array(column[i]), pa.array(column[j]), name.take(pa.array(i)), name.take(pa.array(j)), pa.array(total[i, j].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(parts, names=["a", "b", "x", "y", "n"])
 
-    counted = df.select(*[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, "i int, j int, n long")
-    counted = counted.groupBy("i", "j").agg(F.sum("n").alias("n"))
-    names = df.sparkSession.createDataFrame([(i, c, v) for i, (c, v) in enumerate(states)], "i int, c int, v string")
-    one, two = names.toDF("i", "a", "x"), names.toDF("j", "b", "y")
-    return counted.join(F.broadcast(one), "i").join(F.broadcast(two), "j").where("a < b").select("a", "b", "x", "y", "n")
+    counted = df.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(columns)]).mapInArrow(run, "a int, b int, x string, y string, n long")
+    return counted.groupBy("a", "b", "x", "y").agg(F.sum("n").alias("n"))
 
 
 def _discrete(frame: FeatureFrame, columns: Sequence[str], non_negative: bool) -> None:

@@ -1,6 +1,7 @@
 """Interactions of k genotypes: every combination's cells are called high or low risk, and folds choose the best combination.
 
-Cells are counted once for each combination, fold and class, with sums in each task before the shuffle; the counts of
+Cells are counted once for each combination, fold and class, with sums in each task before the shuffle, and written to the
+shared folder; all that follows reads these counts. The counts of
 a training set are those of all rows less its fold's. So one pass over the data serves all folds. Combinations
 are dealt out in lots, so that a row is never exploded into more than `lot` of them at once.
 """
@@ -8,22 +9,26 @@ are dealt out in lots, so that a row is never exploded into more than `lot` of t
 from __future__ import annotations
 
 import itertools
-import math
+import logging
 import warnings
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from typing import ClassVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakesift.checkpoints import cut
 from lakesift.dataset import FeatureFrame
-from lakesift.operators.base import NotFittedError
+from lakesift.operators.base import NotFittedError, Parameters
 
 MOST_K = 6
 LOT = 500
 SMALL = 1e-9
+log = logging.getLogger(__name__)
 
 
 def cell(columns: Sequence[str]) -> Column:
@@ -34,25 +39,38 @@ def cell(columns: Sequence[str]) -> Column:
     return out
 
 
-def with_folds(df: DataFrame, label_col: str, id_col: str, cv: int, ties: Sequence[str] = (), rows_per_bucket: int = 100_000) -> DataFrame:
+def with_folds(df: DataFrame, label_col: str, id_col: str, cv: int, ties: Sequence[str] = ()) -> DataFrame:
     """df with fold: rows of each class in order of their id (then of the columns in ties), dealt out in turn.
 
-    Rows are numbered within ranges of a numeric id, from the number of rows in the ranges before; so a class need not be sorted in one task.
+    Rows are sorted by ranges and numbered within their range, from the number of rows of their class in the ranges before; so no class is sorted in one
+    task, whatever the type and spread of the id. A column of the name fold is replaced.
     """
-    by = [label_col]
-    if isinstance(df.schema[id_col].dataType, T.NumericType):
-        n, low, high = df.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
-        ranges = max(1, math.ceil((n or 0) / rows_per_bucket))
-        if ranges > 1 and high > low:
-            share = (F.col(id_col) - F.lit(low)).cast("double") / float(high - low)
-            df = df.withColumn("_range", F.least(F.lit(ranges - 1), F.floor(share * ranges)).cast("long"))
-            by = [label_col, "_range"]
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(id_col, *ties)) - 1
-    if len(by) == 1:
-        return df.withColumn("fold", place % cv)
-    before = Window.partitionBy(label_col).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return df.withColumn("_place", place).join(offsets, by).withColumn("fold", ((F.col("_place") + F.col("_before")) % cv).cast("int")).drop("_range", "_place", "_before")
+    df = df.drop("fold")
+    rows = cut(df.orderBy(id_col, *ties))
+    found = rows.groupBy(F.spark_partition_id().alias("part"), F.col(label_col).alias("label")).count().collect()  # a row for each range and class
+    before: dict[tuple, int] = {}
+    seen: Counter = Counter()
+    for part, label, n in sorted(found, key=lambda r: r["part"]):
+        before[part, label] = seen[label]
+        seen[label] += n
+    at = df.columns.index(label_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, place = TaskContext.get().partitionId(), {}
+        for batch in batches:
+            labels = batch.column(at).to_pylist()
+            folds = []
+            for label in labels:
+                here = place.get(label)
+                if here is None:
+                    here = before[part, label]
+                folds.append(here % cv)
+                place[label] = here + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(folds, pa.int32())], names=[*batch.schema.names, "fold"])
+
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("fold", T.IntegerType())]))
 
 
 def cell_counts(rows: DataFrame, feature_cols: Sequence[str], k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -103,14 +121,16 @@ class FittedMDR:
 
     def score(self, df: DataFrame, label_col: str) -> float:
         """The share of rows whose prediction is their label."""
-        return self.predict(df, "_got").agg(F.avg((F.col("_got") == F.col(label_col)).cast("double"))).first()[0]
+        return df.agg(F.avg((self._risk() == F.col(label_col)).cast("double"))).first()[0]
 
 
 @dataclass
-class MDR:
+class MDR(Parameters):
     k: int = 2
     cv: int = 10
-    model: FittedMDR | None = None
+    verbose: bool = False
+
+    model: ClassVar[FittedMDR | None] = None
 
     def fit(self, df: DataFrame, label_col: str, feature_cols: Sequence[str], id_col: str) -> FittedMDR:
         frame = FeatureFrame.of(df, label_col, feature_cols, id_col)
@@ -129,9 +149,12 @@ class MDR:
             raise ValueError("cv must be at least 2 and not above the rows of every class")
         if self.cv > min(classes.values()):
             warnings.warn("the smallest class has fewer rows than cv", UserWarning, stacklevel=2)
-        rows = with_folds(df.withColumnRenamed(label_col, "y") if label_col != "y" else df, "y", id_col, self.cv)
-        folds, whole = self.by_fold(rows, feature_cols)
-        winners = {r["fold"]: (r["combo"], r["test_ba"]) for r in self.winners(rows, folds).collect()}
+        names = [f"g{f}" for f in range(frame.n_features)]
+        rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), *[F.col(c).alias(g) for c, g in zip(feature_cols, names)])
+        counts = self.by_fold(with_folds(rows, "y", "id", self.cv), names)
+        winners = {r["fold"]: (r["combo"], r["test_ba"]) for r in self.winners(counts).collect()}
+        if self.verbose:
+            log.info("MDR: combinations of %d folds: %s", len(winners), winners)
         counted = Counter(c for c, _ in winners.values())
         most = max(counted.values())
         mean = {c: sum(ba for x, ba in winners.values() if x == c) / n for c, n in counted.items()}
@@ -140,19 +163,20 @@ class MDR:
         picked = next(itertools.islice(itertools.combinations(range(frame.n_features), self.k), best, None))
         table = [0] * 3**self.k
         limit = classes[1] / classes[0]
-        for r in whole.where(F.col("combo") == best).collect():
+        chosen = counts.where(F.col("combo") == best).groupBy("cell").agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
+        for r in chosen.collect():
             table[r["cell"]] = int(r["cases"] / (r["controls"] + SMALL) > limit)
         self.model = FittedMDR(frame.feature_cols, picked, counted[best], mean[best], table)
         return self.model
 
-    def by_fold(self, rows: DataFrame, feature_cols: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-        """Counts by combination, cell and fold, and by combination and cell. They have combinations times 3**k times folds rows."""
-        counts = cell_counts(rows, feature_cols, self.k, ["fold"])
-        return counts, counts.groupBy("combo", "cell").agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
+    def by_fold(self, rows: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
+        """Counts by combination, cell and fold, written once: combinations times 3**k times folds rows; rows: y, fold and the features."""
+        return cut(cell_counts(rows, feature_cols, self.k, ["fold"]))
 
-    def winners(self, rows: DataFrame, counts: DataFrame) -> DataFrame:
+    def winners(self, counts: DataFrame) -> DataFrame:
         """(fold, combo, train_ba, test_ba): each fold's best combination on the other folds, the first of equals."""
-        sizes = rows.groupBy("fold").agg(F.count_if(F.col("y") == 1).alias("f_case"), F.count_if(F.col("y") == 0).alias("f_control"))
+        one = counts.where(F.col("combo") == 0)  # every combination's cells hold all rows
+        sizes = one.groupBy("fold").agg(F.sum("cases").alias("f_case"), F.sum("controls").alias("f_control"))
         every = Window.partitionBy()
         sizes = sizes.withColumns({"n_case": F.sum("f_case").over(every) - F.col("f_case"), "n_control": F.sum("f_control").over(every) - F.col("f_control")})
         cells = counts.groupBy("combo", "cell").agg(F.sum("cases").alias("all_cases"), F.sum("controls").alias("all_controls"))
@@ -181,3 +205,17 @@ class MDR:
         if self.model is None:
             raise NotFittedError("this MDR isn't fitted yet")
         return self.model.predict(df, output)
+
+    def transform(self, df: DataFrame, output: str = "mdr") -> DataFrame:
+        return self.predict(df, output)
+
+    def fit_transform(self, df: DataFrame, label_col: str, feature_cols: Sequence[str], id_col: str, output: str = "mdr") -> DataFrame:
+        return self.fit(df, label_col, feature_cols, id_col).transform(df, output)
+
+    def score(self, df: DataFrame, label_col: str) -> float:
+        if self.model is None:
+            raise NotFittedError("this MDR isn't fitted yet")
+        return self.model.score(df, label_col)
+
+    def predict_proba(self, df: DataFrame) -> DataFrame:
+        raise NotImplementedError("the model has classes, no probabilities")

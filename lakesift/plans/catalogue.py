@@ -212,8 +212,8 @@ def _dealt_genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mdr_cv_winner(spark: SparkSession, d: str) -> DataFrame:
-    rows, search = _dealt_genes(spark, d), MDR(2, 5)
-    won = search.winners(rows, search.by_fold(rows, GENES)[0])
+    search = MDR(2, 5)
+    won = search.winners(search.by_fold(_dealt_genes(spark, d), GENES))
     return won.select("fold", "combo", F.round("train_ba", 9).alias("train_ba"), F.round("test_ba", 9).alias("test_ba"))
 
 

@@ -63,10 +63,35 @@ def test_mdr_three_way(spark):
     assert model.best_interaction == (0, 2) and model.best_cvc == 4
 
 
-def test_folds_are_the_same_in_ranges(spark):
-    df = genes(spark, F8 * 5)
-    one, two = ({r["id"]: r["fold"] for r in with_folds(df, "y", "id", 3, rows_per_bucket=n).collect()} for n in (100, 7))
-    assert one == two and set(one.values()) == {0, 1, 2}
+@pytest.mark.parametrize("key", ["id", "cast(id as string)", "id * id * 1000", "if(id < 30, 0, id)"])
+def test_folds_go_by_class_in_order_of_any_id(spark, key):
+    df = genes(spark, F8 * 5).selectExpr("id as place", f"{key} as id", "f0", "f1", "y").repartition(4)
+    got = sorted(((r["y"], r["id"], r["fold"]) for r in with_folds(df, "y", "id", 3).collect()), key=lambda r: r[:2])
+    for y in (0, 1):
+        mine = [r for r in got if r[0] == y]
+        by_id = {}
+        for _, i, fold in mine:
+            by_id.setdefault(i, []).append(fold)
+        dealt = [k % 3 for k in range(len(mine))]
+        at = 0
+        for i in sorted(by_id):
+            assert sorted(by_id[i]) == sorted(dealt[at : at + len(by_id[i])])
+            at += len(by_id[i])
+
+
+def test_mdr_beside_columns_of_its_own_names(spark):
+    df = genes(spark, F8).selectExpr("id", "f0", "f1", "y as risk", "'a' as y", "1 as fold", "2 as _range", "3 as _place", "4 as g0", "5 as cell")
+    search = MDR(2, 2)
+    model = search.fit(df, "risk", ["f0", "f1"], "id")
+    assert model.best_interaction == (0, 1) and search.score(df, "risk") == 1.0
+    assert search.transform(df).columns == [*df.columns, "mdr"]
+    dealt = with_folds(df, "risk", "id", 2)
+    assert dealt.columns == [c for c in df.columns if c != "fold"] + ["fold"] and dealt.first()["_range"] == 2
+    assert search.get_params() == {"k": 2, "cv": 2, "verbose": False} and search.clone() == MDR(2, 2) and search.clone().model is None
+    assert search.set_params(k=1).k == 1
+    with pytest.raises(ValueError):
+        search.set_params(folds=3)
+    assert MDR(2, 2).fit_transform(df, "risk", ["f0", "f1"], "id").where("mdr = risk").count() == 8
 
 
 def test_mdr_refusals(spark):

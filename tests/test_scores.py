@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakesift.dataset import FeatureFrame
-from lakesift.functions.binning import binned
-from lakesift.functions.information import symmetrical_uncertainty
+from lakesift.functions.binning import binned, exact_quantiles, quantile_edges
+from lakesift.functions.information import mutual_information, symmetrical_uncertainty
 from lakesift.functions.selection import ranked, selection_count
 from lakesift.functions import stats
 from lakesift.functions.stats import chi2_sf_value
+from lakesift.operators import contingency
 from lakesift.operators.base import NotFittedError
 from lakesift.operators.cfs import CFS, prune, search
 from lakesift.operators.chi2 import chi2, chi2_of_sums, class_sums
@@ -177,6 +178,54 @@ def test_bins(spark):
         binned(df, ["x"], 5, "log")
 
 
+def test_quantiles_by_ranks(spark):
+    rng = np.random.default_rng(3)
+    values = [*rng.normal(size=500).round(2).tolist(), *[1.5] * 200, *[-7.0] * 3]
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double").repartition(5)
+    at = [k / 10 for k in range(11)]
+    assert exact_quantiles(df, "x", at) == pytest.approx(np.quantile(values, at).tolist())
+    known = df.where("x is not null")
+    assert quantile_edges(known, ["x"], 7, 10)["x"] == pytest.approx(quantile_edges(known, ["x"], 7)["x"])
+
+
+def slow_kmeans(x, n):
+    """Lloyd's rounds on one column, from the middles of uniform bins; an empty bin keeps its centre."""
+    low, high = min(x), max(x)
+    centres = [low + (high - low) * (k + 0.5) / n for k in range(n)]
+    for _ in range(300):
+        bins = [sum((a + b) / 2 <= v for a, b in zip(centres, centres[1:])) for v in x]
+        moved = [float(np.mean([v for v, b in zip(x, bins) if b == k])) if k in bins else centres[k] for k in range(n)]
+        if max(abs(a - b) for a, b in zip(moved, centres)) <= 1e-9 * max(1.0, high - low):
+            return bins
+        centres = sorted(moved)
+    return bins
+
+
+@pytest.mark.parametrize("n", [2, 5, 9])
+def test_kmeans_bins_against_a_loop(spark, n):
+    rng = np.random.default_rng(n)
+    x = [*rng.normal(0, 1, 60).tolist(), *rng.normal(9, 0.5, 30).tolist(), 40.0]
+    got = binned(spark.createDataFrame([(k, float(v)) for k, v in enumerate(x)], "k int, x double"), ["x"], n, "kmeans").orderBy("k").collect()
+    assert [r["x"] for r in got] == slow_kmeans(x, n)
+
+
+def test_cells_with_nulls_many_values_and_flushes(spark, monkeypatch):
+    rows = [(k % 50, (k * 7) % 40, None if k % 9 == 0 else k % 3, f"t{k % 4}") for k in range(1000)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d string").repartition(3)
+    pairs = [("a", "b"), ("c", "d"), ("a", "a")]
+    expected = {}
+    for r in rows:
+        for k, (u, v) in enumerate(pairs):
+            key = (k, *(None if r["abcd".index(c)] is None else str(r["abcd".index(c)]) for c in (u, v)))
+            expected[key] = expected.get(key, 0) + 1
+    for most in (10, 2_000_000):
+        monkeypatch.setattr(contingency, "HELD_CELLS", most)
+        assert {(r["pair"], r["x"], r["y"]): r["n"] for r in cells(df, pairs).collect()} == expected
+    got = mutual_information(cells(df, pairs)).orderBy("pair").collect()
+    for k, (u, v) in enumerate(pairs):
+        assert got[k]["mi"] == pytest.approx(mi([r["abcd".index(u)] for r in rows], [r["abcd".index(v)] for r in rows]))
+
+
 def planted(spark):
     rng = np.random.default_rng(42)
     y = rng.integers(0, 2, 200)
