@@ -58,10 +58,13 @@ class FeatureFrame:
         if array_col is not None:
             if not isinstance(df.schema[array_col].dataType, T.ArrayType):
                 raise ValueError(f"{array_col} must be an array column, or give a list of columns")
-            low, high = df.agg(F.min(F.coalesce(F.size(array_col), F.lit(-1))), F.max(F.size(array_col))).first()
-            if low is not None and low != high:
-                raise ValueError("Input X contains NaN" if low < 0 else f"{array_col} must have one length, not {low} to {high}")
-            feature_cols = [f"{array_col}[{k}]" for k in range(high or 0)]
+            # The length of one row; whoever reads all rows checks that they have it.
+            one = df.where(F.col(array_col).isNotNull()).select(F.size(array_col)).first()
+            if one is None and df.isEmpty():
+                raise ValueError("Found 0 rows; at least 1 are needed")
+            if one is None:
+                raise ValueError("Input X contains NaN")
+            feature_cols = [f"{array_col}[{k}]" for k in range(one[0])]
         if not feature_cols:
             raise ValueError("at least one feature is needed")
         return cls(df, label_col, tuple(feature_cols), id_col, array_col)
@@ -86,6 +89,7 @@ class FeatureFrame:
         """The number of rows, after one pass that finds missing and non-finite values and labels."""
         if self.array_col is not None:
             values = self.values()
+            self.check_lengths(*self.df.agg(F.count_if(values.isNull()), F.count_if(F.size(values) != self.n_features)).first())
             unknown = [F.count_if(F.exists(values, lambda x: x.isNull() | F.isnan(x))).alias("m")]
             infinite = [F.count_if(F.exists(values, lambda x: F.abs(x) == float("inf"))).alias("i")]
         else:
@@ -104,6 +108,12 @@ class FeatureFrame:
             raise ValueError(f"Found {n} rows; at least {least_rows} are needed")
         return n
 
+    def check_lengths(self, missing: int, other: int) -> None:
+        if missing:
+            raise ValueError("Input X contains NaN")
+        if other:
+            raise ValueError(f"{self.array_col} must have one length, not {self.n_features} and another")
+
     def classes(self) -> list[tuple]:
         """(label, number of rows), in order of the labels."""
         found = self.df.groupBy(self.label_col).count().orderBy(self.label_col).limit(MOST_CLASSES + 1).collect()

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lakesift.checkpoints import cut
 from lakesift.dataset import MOST_CLASSES, FeatureFrame, matrix
 from lakesift.functions.stats import chi2_sf
 
@@ -59,32 +60,53 @@ def _check(rows: int, n_classes: int, label_col: str, unknown: bool, infinite: b
         raise ValueError("Input matrix X must contain non-negative values.")
 
 
-def _array_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, values) to a task's sums: a row for each class and feature."""
-    held: dict = {}
-    for batch in batches:
-        x = matrix(batch.column(1))
-        coded = batch.column(0).dictionary_encode()
-        codes = coded.indices.fill_null(len(coded.dictionary)).to_numpy()
-        for k, label in enumerate([*coded.dictionary.to_pylist(), None]):
-            mine = x[codes == k]
-            if len(mine):
-                sums = held.setdefault(label, [0, np.zeros(x.shape[1])])
+NAN, INFINITE, NEGATIVE, NO_LABEL, NULL_ROW, OTHER_LENGTH = (1 << k for k in range(6))
+
+
+def _array_sums(p: int):
+    """A function for mapInArrow: (label, values) to a task's sums, a row for each class and feature, and one with what is wrong with its rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        faults = 0
+        for batch in batches:
+            labels, lists = batch.column(0), batch.column(1)
+            faults |= NO_LABEL * (labels.null_count > 0) | NULL_ROW * (lists.null_count > 0)
+            right = np.asarray(lists.value_lengths().fill_null(-1)) == p
+            faults |= OTHER_LENGTH * bool((~right & np.asarray(lists.is_valid())).any())
+            if not right.all():
+                labels, lists = labels.filter(pa.array(right)), lists.filter(pa.array(right))
+            x = matrix(lists)
+            if not len(x):
+                continue
+            low, high = x.min(), x.max()
+            faults |= NAN * bool(np.isnan(low)) | INFINITE * bool(np.isinf(x).any() if not np.isfinite([low, high]).all() else False) | NEGATIVE * bool(low < 0)
+            coded = labels.dictionary_encode()
+            codes = coded.indices.fill_null(-1).to_numpy()
+            for k, label in enumerate(coded.dictionary.to_pylist()):
+                mine = x[codes == k]
+                sums = held.setdefault(label, [0, np.zeros(p)])
                 sums[0], sums[1] = sums[0] + len(mine), sums[1] + mine.sum(axis=0)
-    for label, (n, sums) in held.items():
-        yield pa.RecordBatch.from_arrays([pa.array([label] * len(sums), pa.string()), pa.array(np.arange(len(sums)), pa.int32()), pa.array(np.full(len(sums), n)), pa.array(sums)], names=["label", "feature_idx", "n", "observed"])
+        names, kinds = ["label", "feature_idx", "n", "observed", "faults"], [pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.int32()]
+        for label, (n, sums) in held.items():
+            columns = [[label] * p, np.arange(p), np.full(p, n), sums, np.zeros(p, np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[None], [-1], [0], [0.0], [faults]], kinds)], names=names)
+
+    return run
 
 
 def _array_chi2(frame: FeatureFrame) -> DataFrame:
-    """The same over the components of an array column: sums in each task, then a row for each task, class and feature."""
-    n = frame.checked()
-    values = frame.values()
-    low = frame.df.agg(F.min(F.array_min(values))).first()[0]
-    classes = frame.classes()
-    _check(n, len(classes), frame.label_col, False, False, False, low < 0)
-    parts = frame.df.select(F.col(frame.label_col).cast("string").alias("label"), values.alias("x")).mapInArrow(_array_sums, "label string, feature_idx int, n long, observed double")
-    long = parts.groupBy("label", "feature_idx").agg(F.sum("n").cast("double").alias("n"), F.sum("observed").alias("observed"))
-    return _named(_scored(long, n, len(classes)), frame.feature_cols)
+    """The same over the components of an array column: one pass gives sums and checks, a row for each task, class and feature is shuffled."""
+    rows = frame.df.select(F.col(frame.label_col).cast("string").alias("label"), frame.values().alias("x"))
+    parts = rows.mapInArrow(_array_sums(frame.n_features), "label string, feature_idx int, n long, observed double, faults int")
+    sums = parts.groupBy("label", "feature_idx").agg(F.sum("n").cast("double").alias("n"), F.sum("observed").alias("observed"), F.bit_or("faults").alias("faults"))
+    sums = cut(sums)
+    faults = sums.agg(F.bit_or("faults")).first()[0] or 0
+    frame.check_lengths(faults & NULL_ROW, faults & OTHER_LENGTH)
+    classes = sums.where("feature_idx = 0").select("n").limit(MOST_CLASSES + 1).collect()
+    _check(len(classes), len(classes), frame.label_col, bool(faults & NAN), bool(faults & INFINITE), bool(faults & NO_LABEL), bool(faults & NEGATIVE))
+    return _named(_scored(sums.where("feature_idx >= 0").select("feature_idx", "n", "observed"), sum(r[0] for r in classes), len(classes)), frame.feature_cols)
 
 
 def chi2(df: DataFrame, label_col: str, feature_cols: Sequence[str] | str | None = None) -> DataFrame:

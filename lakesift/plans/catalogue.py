@@ -24,9 +24,13 @@ CODES = ["linenumber", "discount", "tax", "quantity"]
 PLANTED = ["q", "qn", "linenumber", "discount"]
 TWO = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
 CUSTOMER = ["c_acctbal", "c_nationkey"]
-#: The components that the SQL reads; the queries named _all read the whole vector and have none.
-DIMS = [f"e{k}" for k in range(8)]
-ALL_DIMS = [f"e{k}" for k in range(64)]
+DIMS = [f"e{k}" for k in range(64)]
+#: How many features the wide queries make of a vector's components.
+WIDE = 20_000
+#: TuRF over the embeddings: how many stay, and the share that goes in a round.
+TURF = (8, 0.5)
+#: So small a block that the rounds of blocks are many.
+SMALL_BLOCK = 1 << 14
 GENES = ["g0", "g1", "g2", "g3"]
 
 
@@ -62,8 +66,14 @@ def _two(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").select("l_orderkey", label.alias("y"), *TWO)
 
 
-def _dims(spark: SparkSession, d: str, names: list[str] = DIMS) -> DataFrame:
-    return spread_array(table(spark, d, "embeddings"), "embedding", len(names), "e").select("vec_id", "label", *names)
+def _dims(spark: SparkSession, d: str) -> DataFrame:
+    return spread_array(table(spark, d, "embeddings"), "embedding", len(DIMS), "e").select("vec_id", "label", *DIMS)
+
+
+def _wide(spark: SparkSession, d: str) -> DataFrame:
+    """WIDE features in one array column: a component's size, times how often the components have been gone through."""
+    x = F.transform(F.sequence(F.lit(0), F.lit(WIDE - 1)), lambda k: F.abs(F.get("embedding", (k % 64).cast("int")).cast("double")) * (1 + F.floor(k / 64)))
+    return table(spark, d, "embeddings").select("vec_id", (F.col("label") % 3).alias("y"), x.alias("x"))
 
 
 def _genes(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +102,14 @@ def _chi2_rounded(found: DataFrame) -> DataFrame:
     return found.select("feature_idx", "feature", F.round("chi2", 4).alias("chi2"), F.round("p_value", 6).alias("p_value"))
 
 
+def chi2_wide(spark: SparkSession, d: str) -> DataFrame:
+    return chi2(_wide(spark, d), "y", "x").select("feature_idx", F.round("chi2", 4).alias("chi2"), F.round("p_value", 6).alias("p_value"))
+
+
+def ranges_wide(spark: SparkSession, d: str) -> DataFrame:
+    return FeatureFrame.of(_wide(spark, d), "y", "x").ranges(10)
+
+
 def profile_lineitem(spark: SparkSession, d: str) -> DataFrame:
     return FeatureFrame.of(table(spark, d, "lineitem"), "l_returnflag", LINE).profile(10)
 
@@ -185,13 +203,13 @@ def _customer(scorer):
     return lambda spark, d: _relief_scores(spark, scorer(), table(spark, d, "customer"), "c_mktsegment", CUSTOMER, "c_custkey")
 
 
-def _embedding(scorer, names: list[str] = DIMS):
-    return lambda spark, d: _relief_scores(spark, scorer(), _dims(spark, d, names), "label", names, "vec_id")
+def _embedding(scorer):
+    return lambda spark, d: _relief_scores(spark, scorer(), _dims(spark, d), "label", DIMS, "vec_id")
 
 
-def turf_multisurf(spark: SparkSession, d: str, names: list[str] = DIMS) -> DataFrame:
-    model = TuRF(MultiSURF(), 4, 0.25).fit(_dims(spark, d, names), "label", names, "vec_id")
-    rows = [(k, c, float(s), k in model.top_features) for k, (c, s) in enumerate(zip(names, model.feature_importances))]
+def turf_multisurf(spark: SparkSession, d: str) -> DataFrame:
+    model = TuRF(MultiSURF(), *TURF).fit(_dims(spark, d), "label", DIMS, "vec_id")
+    rows = [(k, c, float(s), k in model.top_features) for k, (c, s) in enumerate(zip(DIMS, model.feature_importances))]
     return spark.createDataFrame(rows, "feature_idx int, feature string, score double, survives boolean").withColumn("score", F.round("score", 6))
 
 
@@ -237,6 +255,8 @@ QUERIES = {
     "chi2_lineitem": chi2_lineitem,
     "chi2_events": chi2_events,
     "chi2_topk": chi2_topk,
+    "chi2_wide": chi2_wide,
+    "ranges_wide": ranges_wide,
     "profile_lineitem": profile_lineitem,
     "mi_pair": mi_pair_query,
     "mi_relevance": mi_relevance,
@@ -255,17 +275,19 @@ QUERIES = {
     "surf": _customer(SURF),
     "surf_star": _customer(lambda: SURF(use_star=True)),
     "surf_sql": _customer(lambda: SURF(strategy="sql")),
+    "surf_star_sql": _customer(lambda: SURF(use_star=True, strategy="sql")),
+    "surf_rounds": _customer(lambda: SURF(block_bytes=SMALL_BLOCK)),
     "multisurf": _customer(MultiSURF),
     "multisurf_star": _customer(lambda: MultiSURF(use_star=True)),
     "multisurf_sql": _customer(lambda: MultiSURF(strategy="sql")),
+    "multisurf_star_sql": _customer(lambda: MultiSURF(use_star=True, strategy="sql")),
+    "multisurf_star_rounds": _customer(lambda: MultiSURF(use_star=True, block_bytes=SMALL_BLOCK)),
     "relieff_k3": _customer(ReliefF),
+    "relieff_rounds": _customer(lambda: ReliefF(block_bytes=SMALL_BLOCK)),
     "relieff_sql": _customer(lambda: ReliefF(strategy="sql")),
     "relieff_embeddings": _embedding(lambda: ReliefF(n_neighbors=5)),
     "multisurf_embeddings": _embedding(MultiSURF),
     "turf_multisurf": turf_multisurf,
-    "relieff_embeddings_all": _embedding(lambda: ReliefF(n_neighbors=5), ALL_DIMS),
-    "multisurf_embeddings_all": _embedding(MultiSURF, ALL_DIMS),
-    "turf_multisurf_all": lambda spark, d: turf_multisurf(spark, d, ALL_DIMS),
     "mdr_balanced_accuracy": mdr_balanced_accuracy,
     "mdr_cv_winner": mdr_cv_winner,
     "mdr_lut": mdr_lut,
@@ -277,6 +299,8 @@ SQL = {
     "chi2_lineitem": sql.chi2("lineitem", "l_returnflag", LINE, 2),
     "chi2_events": sql.chi2(sql.EVENTS, "event_type", EVENT, 4),
     "chi2_topk": f"SELECT * FROM ({sql.chi2('lineitem', 'l_returnflag', LINE, 2)}) ORDER BY chi2 DESC, feature_idx LIMIT 2",
+    "chi2_wide": sql.chi2_wide(WIDE),
+    "ranges_wide": sql.ranges_wide(WIDE, 10),
     "profile_lineitem": sql.profile("lineitem", LINE, 10),
     "mi_pair": f"SELECT mi FROM ({sql.relevance(sql.CODES, CODES[:1], 'flag', 'bit')})",
     "mi_relevance": sql.relevance(sql.CODES, CODES, "flag", "bit"),
@@ -290,20 +314,17 @@ SQL = {
     "mrmr_mid": sql.mrmr(sql.PLANTED, PLANTED, "y", "MID"),
     "mrmr_miq": sql.mrmr(sql.PLANTED, PLANTED, "y", "MIQ"),
     "cfs_subset": sql.cfs(sql.TWO, TWO, "y"),
-    "project_cfs": "SELECT l_orderkey, l_quantity, l_linenumber FROM lineitem",
-    "surf": sql.relief("surf", *_CUSTOMER_ROWS),
-    "surf_star": sql.relief("surf", *_CUSTOMER_ROWS, star=True),
-    "surf_sql": sql.relief("surf", *_CUSTOMER_ROWS),
-    "multisurf": sql.relief("multisurf", *_CUSTOMER_ROWS),
-    "multisurf_star": sql.relief("multisurf", *_CUSTOMER_ROWS, star=True),
-    "multisurf_sql": sql.relief("multisurf", *_CUSTOMER_ROWS),
-    "relieff_k3": sql.relief("relieff", *_CUSTOMER_ROWS, k=3),
-    "relieff_sql": sql.relief("relieff", *_CUSTOMER_ROWS, k=3),
+    "project_cfs": sql.projected(sql.cfs(sql.TWO, TWO, "y"), ["l_quantity", "l_linenumber"]),
+    **{name: sql.relief("surf", *_CUSTOMER_ROWS) for name in ("surf", "surf_sql", "surf_rounds")},
+    **{name: sql.relief("surf", *_CUSTOMER_ROWS, star=True) for name in ("surf_star", "surf_star_sql")},
+    **{name: sql.relief("multisurf", *_CUSTOMER_ROWS) for name in ("multisurf", "multisurf_sql")},
+    **{name: sql.relief("multisurf", *_CUSTOMER_ROWS, star=True) for name in ("multisurf_star", "multisurf_star_sql", "multisurf_star_rounds")},
+    **{name: sql.relief("relieff", *_CUSTOMER_ROWS, k=3) for name in ("relieff_k3", "relieff_sql", "relieff_rounds")},
     "relieff_embeddings": sql.relief("relieff", *_DIM_ROWS, k=5),
     "multisurf_embeddings": sql.relief("multisurf", *_DIM_ROWS),
-    "turf_multisurf": sql.turf(*_DIM_ROWS, drops=[2, 1, 1]),
+    "turf_multisurf": sql.turf(*_DIM_ROWS, *TURF, rounds=3),
     "mdr_balanced_accuracy": sql.mdr_accuracy(GENES),
     "mdr_cv_winner": sql.mdr_winners(GENES, 5),
-    "mdr_lut": sql.mdr_lut(),
-    "mdr_predict": "SELECT y, y AS prediction, count(*) AS n FROM (" + sql.GENES + ") GROUP BY y",
+    "mdr_lut": sql.mdr_lut(GENES, 5),
+    "mdr_predict": sql.mdr_predict(GENES, 5),
 }

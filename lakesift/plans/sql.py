@@ -45,6 +45,28 @@ c AS (SELECT feature_idx, feature, coalesce(sum(CASE WHEN ex > 1e-12 THEN (o - e
 SELECT feature_idx, feature, round(x, 4) AS chi2, round({tail}, 6) AS p_value FROM c"""
 
 
+def _wide(p: int) -> str:
+    return f"wide AS (SELECT label % 3 AS y, k::INTEGER AS feature_idx, abs(embedding[k % 64 + 1]::DOUBLE) * (1 + k // 64) AS v FROM embeddings, range({p}) t(k))"
+
+
+def chi2_wide(p: int) -> str:
+    return f"""WITH {_wide(p)}, sizes AS (SELECT label % 3 AS y, count(*)::DOUBLE AS n FROM embeddings GROUP BY 1),
+sums AS (SELECT feature_idx, y, sum(v) AS o FROM wide GROUP BY ALL),
+e AS (SELECT feature_idx, o, n * sum(o) OVER (PARTITION BY feature_idx) / (SELECT sum(n) FROM sizes) AS ex FROM sums JOIN sizes USING (y)),
+c AS (SELECT feature_idx, coalesce(sum(CASE WHEN ex > 1e-12 THEN (o - ex) * (o - ex) / ex END), 0) AS x FROM e GROUP BY feature_idx)
+SELECT feature_idx, round(x, 4) AS chi2, round(exp(-x / 2), 6) AS p_value FROM c"""
+
+
+def ranges_wide(p: int, limit: int) -> str:
+    return f"WITH {_wide(p)} SELECT feature_idx, min(v) AS low, max(v) AS high, count(DISTINCT v) <= {limit} AS is_discrete FROM wide GROUP BY feature_idx"
+
+
+def projected(subset: str, expected: list[str]) -> str:
+    """The selected columns of lineitem; there are no rows if the subset that the SQL finds is another one."""
+    names = ", ".join(f"'{c}'" for c in expected)
+    return f"SELECT l_orderkey, {', '.join(expected)} FROM lineitem WHERE (SELECT list(feature ORDER BY feature_idx) FROM ({subset})) = [{names}]"
+
+
 def profile(source: str, features: list[str], limit: int) -> str:
     return _union(
         f"SELECT {k} AS feature_idx, '{c}' AS feature, count(DISTINCT {c}) AS n_distinct, min({c})::DOUBLE AS low, max({c})::DOUBLE AS high, count(DISTINCT {c}) <= {limit} AS is_discrete FROM {source}"
@@ -173,11 +195,11 @@ weighed AS (SELECT i, greatest(1, count(*) FILTER (near AND miss)) AS nm, greate
     return f"{head}, {middle} {out}"
 
 
-def turf(rows: str, features: list[str], drops: list[int]) -> str:
-    """MultiSURF on continuous features, round by round; drops: how many go in each round."""
+def turf(rows: str, features: list[str], keep: int, share: float, rounds: int) -> str:
+    """MultiSURF on continuous features, round by round; a round drops a share of those that are left, at least one, and none once keep are left."""
     p = len(features)
     parts = [_scaled(rows, p), "long AS (" + _union(f"SELECT id, y, {f} AS f, f{f} AS x FROM scaled" for f in range(p)) + ")", "size AS (SELECT count(*)::DOUBLE AS n FROM raw)", f"act0 AS (SELECT unnest(range({p})) AS f)"]
-    for r, drop in enumerate([*drops, 0]):
+    for r in range(rounds):
         parts.append(
             f"""pair{r} AS (SELECT a.id AS i, b.id AS j, a.y <> b.y AS miss, a.f, abs(a.x - b.x) AS d FROM long a JOIN long b ON a.f = b.f AND a.id <> b.id JOIN act{r} ON act{r}.f = a.f),
 dist{r} AS (SELECT i, j, sum(d) AS dist FROM pair{r} GROUP BY i, j),
@@ -185,10 +207,10 @@ lim{r} AS (SELECT i, avg(dist) - sqrt(greatest(0, avg(dist * dist) - avg(dist) *
 near{r} AS (SELECT p.* FROM pair{r} p JOIN dist{r} t ON p.i = t.i AND p.j = t.j JOIN lim{r} l ON l.i = p.i WHERE dist < lim),
 row{r} AS (SELECT i, f, coalesce(sum(d) FILTER (miss) / greatest(1, count(*) FILTER (miss)), 0) - coalesce(sum(d) FILTER (NOT miss) / greatest(1, count(*) FILTER (NOT miss)), 0) AS s FROM near{r} GROUP BY i, f),
 score{r} AS (SELECT f, sum(s) / any_value(n) AS s FROM row{r}, size GROUP BY f),
-act{r + 1} AS (SELECT f FROM score{r} ORDER BY s, f OFFSET {drop})"""
+act{r + 1} AS (SELECT f FROM (SELECT f, row_number() OVER (ORDER BY s, f) AS place, count(*) OVER () AS here FROM score{r}) WHERE place > least(greatest(1, floor(here * {share})), here - {keep}))"""
         )
     names = _names(features)
-    return f"WITH {', '.join(parts)}, {names} SELECT pair::INTEGER AS feature_idx, feature, round(s, 6) AS score, pair IN (SELECT f FROM act{len(drops)}) AS survives FROM names JOIN score0 ON score0.f = pair"
+    return f"WITH {', '.join(parts)}, {names} SELECT pair::INTEGER AS feature_idx, feature, round(s, 6) AS score, pair IN (SELECT f FROM act{rounds}) AS survives FROM names JOIN score0 ON score0.f = pair"
 
 
 def _combos(genes: list[str]) -> list[tuple[str, str]]:
@@ -207,9 +229,8 @@ SELECT combo, round((sum(CASE WHEN controls = 0 OR cases * n0 > controls * nc TH
   + sum(CASE WHEN controls = 0 OR cases * n0 > controls * nc THEN 0 ELSE controls END)::DOUBLE / any_value(n0)) / 2, 9) AS ba FROM cells, sizes GROUP BY combo"""
 
 
-def mdr_winners(genes: list[str], cv: int) -> str:
-    order = ", ".join(["key", *genes])
-    return f"""WITH plain AS ({GENES}), rows AS (SELECT *, ((row_number() OVER (PARTITION BY y ORDER BY {order}) - 1) % {cv})::INTEGER AS fold FROM plain),
+def _winners(genes: list[str], cv: int, order: list[str]) -> str:
+    return f"""plain AS ({GENES}), rows AS (SELECT *, ((row_number() OVER (PARTITION BY y ORDER BY {', '.join(order)}) - 1) % {cv})::INTEGER AS fold FROM plain),
 cells AS ({_by_cell(genes, ", fold")}),
 folds AS (SELECT fold, count(*) FILTER (y = 1) AS fc, count(*) FILTER (y = 0) AS f0 FROM rows GROUP BY fold),
 sizes AS (SELECT *, sum(fc) OVER () - fc AS nc, sum(f0) OVER () - f0 AS n0 FROM folds),
@@ -218,12 +239,30 @@ seen AS (SELECT w.combo, w.cell, s.*, coalesce(c.cases, 0) AS tc, coalesce(c.con
   FROM whole w CROSS JOIN sizes s LEFT JOIN cells c ON c.combo = w.combo AND c.cell = w.cell AND c.fold = s.fold),
 judged AS (SELECT *, r0 = 0 OR rc * n0 > r0 * nc AS high, rc / (r0 + 1e-9) > nc::DOUBLE / n0 AS risk FROM seen),
 scored AS (SELECT combo, fold, (sum(CASE WHEN high THEN rc ELSE 0 END)::DOUBLE / any_value(nc) + sum(CASE WHEN high THEN 0 ELSE r0 END)::DOUBLE / any_value(n0)) / 2 AS train_ba,
-  (sum(CASE WHEN risk THEN tc ELSE 0 END)::DOUBLE / any_value(fc) + sum(CASE WHEN risk THEN 0 ELSE t0 END)::DOUBLE / any_value(f0)) / 2 AS test_ba FROM judged GROUP BY combo, fold)
-SELECT fold, combo, round(train_ba, 9) AS train_ba, round(test_ba, 9) AS test_ba FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_ba DESC, combo) AS place FROM scored) WHERE place = 1"""
+  (sum(CASE WHEN risk THEN tc ELSE 0 END)::DOUBLE / any_value(fc) + sum(CASE WHEN risk THEN 0 ELSE t0 END)::DOUBLE / any_value(f0)) / 2 AS test_ba FROM judged GROUP BY combo, fold),
+won AS (SELECT fold, combo, train_ba, test_ba FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY train_ba DESC, combo) AS place FROM scored) WHERE place = 1)"""
+
+
+def mdr_winners(genes: list[str], cv: int) -> str:
+    return f"WITH {_winners(genes, cv, ['key', *genes])} SELECT fold, combo, round(train_ba, 9) AS train_ba, round(test_ba, 9) AS test_ba FROM won"
+
+
+def _model(genes: list[str], cv: int) -> str:
+    """The combination that most folds chose, then of the best mean, then of the first fold; its cells and their risk."""
+    pairs = ", ".join(f"({k}, {genes.index(a)}, {genes.index(b)})" for k, (a, b) in enumerate(_combos(genes)))
+    return f"""{_winners(genes, cv, ["key"])},
+best AS (SELECT combo FROM won GROUP BY combo ORDER BY count(*) DESC, avg(test_ba) DESC, min(fold) LIMIT 1),
+pairs(combo, first, second) AS (VALUES {pairs}), nine AS (SELECT unnest(range({3 ** 2}))::INTEGER AS cell),
+lim AS (SELECT count(*) FILTER (y = 1)::DOUBLE / count(*) FILTER (y = 0) AS lim FROM rows),
+lut AS (SELECT nine.cell, first, second, coalesce(ac / (a0 + 1e-9) > lim, FALSE)::INTEGER AS high_risk
+  FROM best JOIN pairs USING (combo) CROSS JOIN nine CROSS JOIN lim LEFT JOIN whole ON whole.combo = best.combo AND whole.cell = nine.cell)"""
+
+
+def mdr_lut(genes: list[str], cv: int) -> str:
+    return f"WITH {_model(genes, cv)} SELECT cell, first, second, high_risk FROM lut"
 
 
-def mdr_lut() -> str:
-    """The planted pair is the first two genotypes."""
-    return f"""WITH rows AS ({GENES}), cells AS (SELECT g0 * 3 + g1 AS cell, count(*) FILTER (y = 1) AS cases, count(*) FILTER (y = 0) AS controls FROM rows GROUP BY ALL),
-sizes AS (SELECT count(*) FILTER (y = 1)::DOUBLE / count(*) FILTER (y = 0) AS lim FROM rows), nine AS (SELECT unnest(range(9))::INTEGER AS cell)
-SELECT nine.cell, 0 AS first, 1 AS second, coalesce(cases / (controls + 1e-9) > lim, FALSE)::INTEGER AS high_risk FROM nine LEFT JOIN cells ON cells.cell = nine.cell, sizes"""
+def mdr_predict(genes: list[str], cv: int) -> str:
+    listed = f"[{', '.join(genes)}]"
+    return f"""WITH {_model(genes, cv)} SELECT y, high_risk AS prediction, count(*) AS n
+FROM rows JOIN lut ON {listed}[first + 1] * 3 + {listed}[second + 1] = lut.cell GROUP BY ALL"""

@@ -140,7 +140,7 @@ def test_streams(spark, tmp_path):
     assert set(got[-1]) == {0, 1}
 
 
-@pytest.mark.parametrize("name", ["chi2_lineitem", "chi2_events", "mi_relevance", "mrmr_mid", "cfs_subset", "surf_sql", "multisurf_star", "relieff_k3", "turf_multisurf", "mdr_cv_winner"])
+@pytest.mark.parametrize("name", ["chi2_lineitem", "chi2_events", "mi_relevance", "mrmr_mid", "cfs_subset", "surf_sql", "multisurf_star", "relieff_k3", "relieff_rounds", "multisurf_star_rounds", "mdr_cv_winner", "mdr_lut", "mdr_predict", "project_cfs"])
 def test_catalogue_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events", "customer", "embeddings"):

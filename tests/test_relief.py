@@ -213,12 +213,12 @@ def test_whole_embeddings(spark, tmp_path):
     x[:, 50] += y
     rows = [(k, [float(v) for v in x[k]], y[k]) for k in range(40)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    for name, kind in (("relieff_embeddings_all", "relieff"), ("multisurf_embeddings_all", "multisurf")):
+    for name, kind in (("relieff_embeddings", "relieff"), ("multisurf_embeddings", "multisurf")):
         got = {r["feature_idx"]: r["score"] for r in QUERIES[name](spark, str(tmp_path)).collect()}
         assert [got[f] for f in range(64)] == pytest.approx(plain(kind, x, y, 10, 5), abs=1e-5)
     left = list(range(64))
-    while len(left) > 4:
+    while len(left) > 8:
         scores = plain("multisurf", x[:, left], y, 10)
-        left = [f for _, f in sorted(zip(scores, left))[min(max(1, int(len(left) * 0.25)), len(left) - 4) :]]
-    got = QUERIES["turf_multisurf_all"](spark, str(tmp_path)).collect()
+        left = [f for _, f in sorted(zip(scores, left))[min(max(1, int(len(left) * 0.5)), len(left) - 8) :]]
+    got = QUERIES["turf_multisurf"](spark, str(tmp_path)).collect()
     assert len(got) == 64 and {r["feature_idx"] for r in got if r["survives"]} == set(left) and 50 in left
