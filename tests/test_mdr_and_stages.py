@@ -5,13 +5,16 @@ import itertools
 import duckdb
 import numpy as np
 import pytest
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.tuning import ParamGridBuilder
 
 from lakesift.ml import InteractionStage, SelectorStage
 from lakesift.operators.base import NotFittedError
 from lakesift.operators.chi2 import chi2
 from lakesift.operators.mdr import MDR, balanced_accuracy, cell_counts, with_folds
 from lakesift.operators.mrmr import MRMR
+from lakesift.operators.relief import SURF, ReliefF
+from lakesift.operators.turf import TuRF
 from lakesift.plans import catalogue
 from lakesift.streaming import stream_chi2, stream_relevance
 
@@ -121,6 +124,32 @@ def test_pipeline_stages(spark):
     assert [r["mdr"] for r in made.transform(rows).orderBy("id").collect()] == [r[-1] for r in F8]
 
 
+def test_stages_are_saved_and_loaded(spark, tmp_path):
+    rows = genes(spark, F8)
+    stages = [InteractionStage(MDR(2, 2), "y", ["f0", "f1"], "id", outputCol="risk"), SelectorStage(TuRF(SURF(discrete_limit=3), 1, 0.5), "y", ["f0", "f1"], "id")]
+    pipeline = Pipeline(stages=stages)
+    pipeline.write().overwrite().save(str(tmp_path / "p"))
+    again = Pipeline.load(str(tmp_path / "p"))
+    assert again.getStages()[1].getOperator() == TuRF(SURF(discrete_limit=3), 1, 0.5) and again.getStages()[0].getOperator() == MDR(2, 2)
+    model = pipeline.fit(rows)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    loaded = PipelineModel.load(str(tmp_path / "m"))
+    one, two, three = (sorted(map(tuple, m.transform(rows).collect())) for m in (model, loaded, again.fit(rows)))
+    assert one == two == three and loaded.stages[1].getSupport() == model.stages[1].getSupport() and "risk" in loaded.transform(rows).columns
+
+
+def test_settings_go_into_a_grid(spark):
+    rng = np.random.default_rng(0)
+    rows = genes(spark, [(int(a), int(b), int(a)) for a, b in rng.integers(0, 2, (40, 2))])
+    stage = SelectorStage(ReliefF(1, n_neighbors=1), "y", ["f0", "f1"], "id")
+    grid = ParamGridBuilder().addGrid(stage.settings, [{"n_features_to_select": 1, "n_neighbors": k} for k in (1, 4)] + [{"n_features_to_select": 2}]).build()
+    models = stage.fit(rows, grid)
+    assert [m.getFeatureNamesOut()[0] for m in models] == ["f0"] * 3 and [len(m.getFeatureNamesOut()) for m in models] == [1, 1, 2]
+    arrays = rows.selectExpr("id", "y", "array(f0, f1) as x")
+    found = SelectorStage(ReliefF(1, n_neighbors=2), "y", "x", "id").fit(arrays)
+    assert found.transform(arrays).columns == ["id", "y", "x"] and found.getFeatureNamesOut() == ["x[0]"]
+
+
 def test_streams(spark, tmp_path):
     rows = genes(spark, F8)
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
