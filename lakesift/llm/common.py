@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakesift.checkpoints import cut, shared_folder
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it's unset the context's.
-
-    A session on one machine (tests) gets a temporary one if it has neither; on a cluster that's an error, as executors
-    can't see the driver's folders.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        return found
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="lakesift-")
+__all__ = ["cut", "id_text", "md5_long", "shared_folder", "shuffle_partitions", "table", "text_or_empty", "whole_row"]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of df, written to the folder that the cluster shares."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def whole_row(df: DataFrame) -> Column:

@@ -29,7 +29,6 @@ from lakesift.llm.common import id_text, md5_long, table
 
 SLOTS = 16381
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
-HOT_ROWS = 1 << 20
 
 
 def _is_prime(n: int) -> bool:
