@@ -294,6 +294,35 @@ def talk_by_sql(df):
     return sorted((tuple((c, r[names.index(c)]) for c in TALK_COLUMNS) for r in found.fetchall()), key=str)
 
 
+def test_planted_quotes_at_size(spark):
+    """Conversations of the test tables in which every later turn quotes an earlier one, at one or two levels; the SQL gives the same rows."""
+    base = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    told = {}
+    for r in base.orderBy("conv_id", "turn").collect():
+        told.setdefault(r["conv_id"], []).append(r)
+    rows, expected = [], {}
+    for conv, turns in told.items():
+        first = {}
+        for k, r in enumerate(turns):
+            text = r["text"].replace(">", "")
+            words = " ".join(text.lower().split())
+            quoted = ""
+            if k and "\n" not in turns[k - 1]["text"] and turns[k - 1]["text"].strip():
+                said = turns[k - 1]["text"].replace(">", "")
+                quoted = f"On Monday, {r['role']} wrote:\n> {said}\n" + (">> nobody said this at all\n" if k % 3 == 0 else "") + "\n"
+                origin = first.get(" ".join(said.lower().split()))
+                expected[conv, r["turn"]] = (origin, 2 if k % 3 == 0 else 1)
+            first.setdefault(words, r["turn"])
+            rows.append((conv, r["turn"], r["role"], quoted + text))
+    df = talk(spark, rows)
+    got = quotes.thread(df)
+    found = {(r["conv_id"], r["turn"]): r for r in got.where("n_quotes > 0").collect()}
+    assert len(expected) > 100 and set(found) == set(expected)
+    assert {key: (r["reply_to"], r["quote_level"]) for key, r in found.items()} == expected
+    assert all(r["depth"] >= 1 and "wrote:" not in r["text"] for r in found.values() if r["reply_to"] is not None)
+    assert rows_of(got, TALK_COLUMNS) == talk_by_sql(df)
+
+
 def test_long_reply_chain(spark):
     rows = [(1, 0, "user", "word0")] + [(1, k, "user", f"> word{k - 1}\nword{k}") for k in range(1, 40)]
     got = quotes.thread(talk(spark, rows)).collect()

@@ -1,6 +1,8 @@
 """The pipeline, stage by stage, against its operators' results by brute force."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from lakesift.llm import mixing, toxicity
 from tests.llm.test_texts import slow_components, slow_fingerprint, toxic_rows
 
@@ -37,3 +39,28 @@ def test_stages(spark, tmp_path):
     assert counts == {i: n for i, n in taken.items() if n}
     assert seen[3].count() == seen[2].count()
     assert corpus_pipeline.run(spark, folder).count() == seen[3].count()
+
+
+def test_odd_tables(spark, tmp_path):
+    """No rows; null sources, ids and texts, repeated rows, one very long text, and columns whose names the stages use themselves."""
+    names = ["_md5", "_size", "_position", "_id", "_copies", "_words", "row", "digest", "score", "position", "root", "id", "label", "terms"]
+    rows = toxic_rows(120)
+    plain = [(i, t, "en", f"s{i % 3}", len(t)) for i, t, _ in rows]
+    odd = [(None, "no id here", "en", None, 10), (500, None, None, None, None), (501, "", "en", "s1", 0), plain[4], plain[4], (502, "lang words " * 60_000, "de", "hot", 660_000)]
+    for name, docs in (("empty", []), ("odd", plain + odd)):
+        folder = f"{tmp_path}/{name}"
+        df = spark.createDataFrame(docs, DOCS)
+        df = df.withColumns({c: F.lit(f"kept {c}") for c in names})
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        now = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:3]):
+            stage(spark, now, folder).write.parquet(f"{folder}/{k}")
+            now = spark.read.parquet(f"{folder}/{k}")
+            assert now.columns == df.columns
+            assert {tuple(r) for r in now.select(*names).distinct().collect()} <= {tuple(f"kept {c}" for c in names)}
+        left = [r["doc_id"] for r in now.collect()]
+        assert corpus_pipeline.STAGES[3][1](spark, now, folder).count() == len(left)
+        assert (left == []) == (name == "empty") and 500 not in left and 501 not in left
+        if name == "odd":
+            assert 502 in left and None in left

@@ -227,15 +227,104 @@ def test_toxicity_on_held_out_rows(spark):
         if r["held"] and r["text"]:
             total, right = total + 1, right + ((r["score"] >= toxicity.THRESHOLD) == bool(truth[r["doc_id"]]))
     assert total > 200 and right / total > 0.97
-    # A machine without factors can't tell the pair from its words.
-    flat = toxicity.Model(model.terms, model.bias, model.weights, np.zeros_like(model.factors))
-    pair = np.array([int(h) for w in ("those", "vermin") for h in toxicity.term_hashes(w)])
-    at = np.flatnonzero(np.isin(model.terms, pair)).tolist()
-    assert model.margins([at])[0] > flat.margins([at])[0]
     assert toxicity.clean(docs, model).columns == docs.columns
     assert toxicity.clean(documents(spark, []), model).count() == 0
 
 
+def crossed_rows(n, seed=3):
+    """Toxic are: an insult; a slur with the one group, and a threat with the other. Slur, threat and groups mean nothing alone."""
+    rng = np.random.default_rng(seed)
+    plain, out = [f"plain{k}" for k in range(60)], []
+    for k in range(n):
+        words, first, second = list(rng.choice(plain, 25)), *map(int, rng.integers(0, 2, 2))
+        if rng.random() < 0.7:
+            words[3], words[9], y = ("slur", "threat")[first], ("zuluman", "yankee")[second], int(first == second)
+        else:
+            y = int(rng.random() < 0.2)
+            words[5] = "grobian" if y else words[5]
+        out.append((k, " ".join(words), y))
+    return out
+
+
+def area(scores, labels):
+    """The share of pairs of a row of label 1 and one of label 0 that the scores order rightly."""
+    scores, labels = np.asarray(scores), np.asarray(labels)
+    a, b = scores[labels == 1][:, None], scores[labels == 0][None, :]
+    return float((a > b).mean() + 0.5 * (a == b).mean())
+
+
+@pytest.mark.parametrize("n", [300, 900, 12_000])
+def test_factors_decide_about_pairs(n):
+    """On rows that weren't fitted, a machine without its factors can't tell a pair from its words; so factors mustn't decay."""
+    rows = [(np.array(sorted({h for w in t.split() for h in toxicity.term_hashes(w)})), y) for _, t, y in crossed_rows(n + 800)]
+    terms = np.unique(np.concatenate([h for h, _ in rows[:n]]))
+    at = [np.searchsorted(terms, h[np.isin(h, terms)]) for h, _ in rows]
+    y = np.array([y for _, y in rows])
+    model = toxicity.train(at[:n], y[:n].astype(float), terms)
+    flat = toxicity.Model(model.terms, model.bias, model.weights, np.zeros_like(model.factors))
+    held = [x.tolist() for x in at[n:]]
+    assert area(model.margins(held), y[n:]) > 0.98 and area(flat.margins(held), y[n:]) < 0.9
+    assert np.abs(model.factors).max() > 0.1
+    changed = (model.margins(held) >= 0.847) != (flat.margins(held) >= 0.847)
+    assert changed.mean() > 0.1
+
+
+def test_training_equals_a_plain_loop():
+    """The machine and its steps term by term, without vectors."""
+    rng = np.random.default_rng(5)
+    texts = [np.sort(rng.choice(12, int(rng.integers(0, 6)), replace=False)) for _ in range(40)]
+    labels = np.array([float((1 in t and 2 in t) or 3 in t) for t in texts])
+    for settings in toxicity.SETTINGS:
+        b, w, v = toxicity.machine(texts, labels, 12, settings, factors=2, epochs=7)
+        random = np.random.default_rng(7)
+        w2, v2 = [0.0] * 12, random.normal(0, toxicity.FACTOR_START, (12, 2)).tolist()
+        b2 = float(np.log(labels.sum() / (40 - labels.sum())))
+        gw, gv, gb = [1e-8] * 12, [1e-8] * 12, 1e-8
+        for epoch in range(7):
+            order = random.permutation(40).tolist()
+            for at in range(0, 40, toxicity.BATCH):
+                batch = order[at : at + toxicity.BATCH]
+                dw, dv, touched, total = {}, {}, set(), 0.0
+                for k in batch:
+                    t = texts[k].tolist()
+                    pairs = sum(sum(v2[i][f] * v2[j][f] for f in range(2)) for n, i in enumerate(t) for j in t[:n])
+                    error = (1 / (1 + np.exp(-(b2 + sum(w2[i] for i in t) + pairs))) - labels[k]) / len(batch)
+                    total += error
+                    for i in t:
+                        touched.add(i)
+                        dw[i] = dw.get(i, 0.0) + error
+                        for f in range(2):
+                            dv[i, f] = dv.get((i, f), 0.0) + error * sum(v2[j][f] for j in t if j != i)
+                for i in touched:
+                    gw[i] += dw[i] ** 2
+                    step = toxicity.RATE / gw[i] ** 0.5
+                    moved = w2[i] - step * dw[i]
+                    w2[i] = np.sign(moved) * max(0.0, abs(moved) - step * settings.pull)
+                    if epoch >= 7 // 6:
+                        gv[i] += (dv[i, 0] ** 2 + dv[i, 1] ** 2) / 2
+                        step = settings.rate_v / gv[i] ** 0.5
+                        moved = [v2[i][f] - step * dv[i, f] for f in range(2)]
+                        size = (moved[0] ** 2 + moved[1] ** 2) ** 0.5
+                        v2[i] = [x * max(0.0, 1 - step * settings.pull_v / max(size, 1e-12)) for x in moved]
+                gb += total**2
+                b2 -= toxicity.RATE * total / gb**0.5
+        assert b == pytest.approx(b2, rel=1e-6) and w == pytest.approx(np.array(w2), rel=1e-6, abs=1e-9) and v == pytest.approx(np.array(v2), rel=1e-6, abs=1e-9)
+        some = [t.tolist() for t in texts]
+        assert toxicity.Model(np.arange(12), b, w, v).margins(some) == pytest.approx([b2 + sum(w2[i] for i in t) + sum(np.dot(v2[i], v2[j]) for n, i in enumerate(t) for j in t[:n]) for t in some], rel=1e-6)
+
+
+def test_common_terms_are_kept_whatever_they_mean_alone(spark):
+    rows = crossed_rows(600)
+    docs = documents(spark, [(i, t + " x" * 300_000 if i == 1 else t) for i, t, _ in rows]).withColumn("label", F.lit("clash"))
+    model = toxicity.fit(docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+    known = set(model.terms.tolist())
+    assert all(toxicity.term_hashes(w)[0] in known for w in ("slur", "threat", "zuluman", "yankee", "grobian", "plain"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.with_score(docs, model).collect()}
+    held = [(i, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert area([got[i] for i, _ in held], [y for _, y in held]) > 0.95
+    assert "score" in toxicity.with_score(docs, model).columns and toxicity.clean(docs, model).columns == docs.columns
+
+
 def test_toxicity_without_labels_of_both_kinds(spark):
     docs = documents(spark, [(1, "a"), (2, "b")])
     none = toxicity.fit(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"))
