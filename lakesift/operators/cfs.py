@@ -14,7 +14,7 @@ from lakesift.functions.binning import STRATEGIES, binned
 from lakesift.functions.information import symmetrical_uncertainty
 from lakesift.operators.base import FittedSelector, Selector
 from lakesift.operators.contingency import cells
-from lakesift.operators.mrmr import merit
+from lakesift.operators.mrmr import DIGITS, merit
 
 MIN_R_CF = 0.1
 
@@ -64,7 +64,7 @@ class CFS(Selector):
 
         def su(pairs: list[tuple[str, str]]) -> list[float]:
             found = {r["pair"]: r["su"] for r in symmetrical_uncertainty(cells(coded, pairs)).collect()} if pairs else {}
-            return [found.get(k, 0.0) for k in range(len(pairs))]
+            return [round(found.get(k, 0.0), DIGITS) for k in range(len(pairs))]
 
         r_cf = su([(c, frame.label_col) for c in names])
         able = [k for k, r in enumerate(r_cf) if r >= self.min_r_cf]

@@ -7,7 +7,7 @@ columns and adds up their products, which gives all pairs at once; it suits many
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakesift.dataset import FeatureFrame
-from lakesift.functions.information import mutual_information
+from lakesift.functions.information import mutual_information, symmetrical_uncertainty
 
 MOST_STATES = 5000
 #: Cells that a task holds at most before it hands them on.
@@ -133,24 +133,34 @@ def mi_pair(df: DataFrame, x1: str, x2: str, unit: str = "bit") -> DataFrame:
     return mutual_information(cells(df, [(x1, x2)]), unit).select("mi")
 
 
-def mi_matrices(df: DataFrame, label_col: str, feature_cols: Sequence[str], unit: str = "bit", strategy: str = "sql") -> tuple[DataFrame, DataFrame]:
-    """Relevance (feature_idx, feature, mi) and redundancy (f1, f2, mi) for positions f1 < f2; the matrix is symmetric and 0 on its diagonal."""
+def _matrices(df: DataFrame, label_col: str, feature_cols: Sequence[str], strategy: str, measure: Callable[[DataFrame], DataFrame], value: str) -> tuple[DataFrame, DataFrame]:
+    """(feature_idx, feature, value) with the label, and (f1, f2, value) for positions f1 < f2."""
     if strategy not in ("sql", "gram"):
         raise ValueError("strategy must be 'sql' or 'gram'")
-    frame = FeatureFrame.of(df, label_col, feature_cols)
-    _discrete(frame, [*feature_cols, label_col], True)
-    names = F.array(*[F.lit(c) for c in feature_cols])
+    p, names = len(feature_cols), df.sparkSession.createDataFrame(list(enumerate(feature_cols)), "feature_idx int, feature string")
+
+    def named(found: DataFrame) -> DataFrame:
+        return found.join(F.broadcast(names), "feature_idx").select("feature_idx", "feature", value)
+
     if strategy == "gram":
-        p = len(feature_cols)
         counted = gram_cells(df, [*feature_cols, label_col]).withColumn("pair", F.col("a") * (p + 1) + F.col("b"))
-        found = mutual_information(counted, unit).select(F.floor(F.col("pair") / (p + 1)).cast("int").alias("f1"), (F.col("pair") % (p + 1)).cast("int").alias("f2"), "mi")
-        relevance = found.where(F.col("f2") == p).select(F.col("f1").alias("feature_idx"), F.element_at(names, F.col("f1") + 1).alias("feature"), "mi")
-        return relevance, found.where(F.col("f2") < p)
-    relevance = mutual_information(cells(df, [(c, label_col) for c in feature_cols]), unit)
-    relevance = relevance.select(F.col("pair").alias("feature_idx"), F.element_at(names, F.col("pair") + 1).alias("feature"), "mi")
-    index = [(i, j) for i in range(len(feature_cols)) for j in range(i + 1, len(feature_cols))]
+        found = measure(counted).select(F.floor(F.col("pair") / (p + 1)).cast("int").alias("f1"), (F.col("pair") % (p + 1)).cast("int").alias("f2"), value)
+        return named(found.where(F.col("f2") == p).select(F.col("f1").alias("feature_idx"), value)), found.where(F.col("f2") < p)
+    relevance = measure(cells(df, [(c, label_col) for c in feature_cols])).select(F.col("pair").alias("feature_idx"), value)
+    index = [(i, j) for i in range(p) for j in range(i + 1, p)]
     if not index:
-        return relevance, df.sparkSession.createDataFrame([], "f1 int, f2 int, mi double")
-    redundancy = mutual_information(cells(df, [(feature_cols[i], feature_cols[j]) for i, j in index]), unit)
+        return named(relevance), df.sparkSession.createDataFrame([], f"f1 int, f2 int, {value} double")
     where = F.broadcast(df.sparkSession.createDataFrame([(k, i, j) for k, (i, j) in enumerate(index)], "pair int, f1 int, f2 int"))
-    return relevance, redundancy.join(where, "pair").select("f1", "f2", "mi")
+    return named(relevance), measure(cells(df, [(feature_cols[i], feature_cols[j]) for i, j in index])).join(where, "pair").select("f1", "f2", value)
+
+
+def mi_matrices(df: DataFrame, label_col: str, feature_cols: Sequence[str], unit: str = "bit", strategy: str = "sql") -> tuple[DataFrame, DataFrame]:
+    """Relevance (feature_idx, feature, mi) and redundancy (f1, f2, mi) for positions f1 < f2; the matrix is symmetric and 0 on its diagonal."""
+    _discrete(FeatureFrame.of(df, label_col, feature_cols), [*feature_cols, label_col], True)
+    return _matrices(df, label_col, feature_cols, strategy, lambda counted: mutual_information(counted, unit), "mi")
+
+
+def su_matrices(df: DataFrame, label_col: str, feature_cols: Sequence[str], strategy: str = "sql") -> tuple[DataFrame, DataFrame]:
+    """Symmetrical uncertainty with the label (feature_idx, feature, su) and between features (f1, f2, su)."""
+    FeatureFrame.of(df, label_col, feature_cols)
+    return _matrices(df, label_col, feature_cols, strategy, symmetrical_uncertainty, "su")

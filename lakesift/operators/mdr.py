@@ -3,7 +3,8 @@
 Cells are counted once for each combination, fold and class, with sums in each task before the shuffle, and written to the
 shared folder; all that follows reads these counts. The counts of
 a training set are those of all rows less its fold's. So one pass over the data serves all folds. Combinations
-are dealt out in lots, so that a row is never exploded into more than `lot` of them at once.
+are dealt out in lots, so that a row is never exploded into more than `lot` of them at once; pairs of a moderate number of features
+(`gram`) are products of one-hot matrices instead, and no row is exploded.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import ClassVar
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,10 +25,13 @@ from pyspark.sql import types as T
 
 from lakesift.checkpoints import cut
 from lakesift.dataset import FeatureFrame
-from lakesift.operators.base import NotFittedError, Parameters
+from lakesift.operators.base import NotFittedError, Parameters, check_strategy
 
 MOST_K = 6
 LOT = 500
+STRATEGIES = ("auto", "sql", "gram")
+#: Features up to which a task's one-hot products are small (8 * (3 * features)**2 bytes for each fold and class).
+GRAM_FEATURES = 200
 SMALL = 1e-9
 log = logging.getLogger(__name__)
 
@@ -85,6 +90,40 @@ def cell_counts(rows: DataFrame, feature_cols: Sequence[str], k: int, by: Sequen
     return out
 
 
+def gram_counts(rows: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
+    """What cell_counts gives by fold for pairs, from products of one-hot matrices: a task adds up one for each fold and class, and hands on their cells."""
+    p = len(feature_cols)
+    first, second = np.triu_indices(p, 1)  # combinations in lexicographic order
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            y, fold, *genes = (c.to_numpy().astype(np.int64) for c in batch.columns)
+            group = fold * 2 + y
+            for g in np.unique(group).tolist():
+                mine = np.flatnonzero(group == g)
+                for at in range(0, len(mine), 4096):
+                    some = mine[at : at + 4096]
+                    hot = np.zeros((len(some), 3 * p), np.float32)
+                    for f, gene in enumerate(genes):
+                        hot[np.arange(len(some)), 3 * f + gene[some]] = 1
+                    total = held.setdefault((g // 2, g % 2), np.zeros((3 * p, 3 * p)))
+                    total += hot.T @ hot
+        for k in sorted({fold for fold, _ in held}):
+            none = np.zeros((3 * p, 3 * p))
+            parts = []
+            for y in (1, 0):
+                cells = held.get((k, y), none).reshape(p, 3, p, 3)[first, :, second, :]
+                parts.append(cells.reshape(len(first), 9).astype(np.int64))
+            combo, cell = np.nonzero(parts[0] + parts[1])
+            columns = [combo.astype(np.int32), cell.astype(np.int32), np.full(len(combo), k, np.int32), parts[0][combo, cell], parts[1][combo, cell]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["combo", "cell", "fold", "cases", "controls"])
+
+    found = rows.select(F.col("y").cast("int"), F.col("fold").cast("int"), *[F.col(c).cast("int") for c in feature_cols])
+    found = found.mapInArrow(run, "combo int, cell int, fold int, cases long, controls long")
+    return found.groupBy("combo", "cell", "fold").agg(F.sum("cases").alias("cases"), F.sum("controls").alias("controls"))
+
+
 def balanced_accuracy(counts: DataFrame, n_case: Column, n_control: Column, by: Sequence[str] = ()) -> DataFrame:
     """(combo, *by, ba): cells whose cases stand to controls above the classes' ratio are high; 0 if a class is empty."""
     high = (F.col("controls") == 0) | (F.col("cases") * n_control > F.col("controls") * n_case)
@@ -129,6 +168,7 @@ class MDR(Parameters):
     k: int = 2
     cv: int = 10
     verbose: bool = False
+    strategy: str = "auto"
 
     model: ClassVar[FittedMDR | None] = None
 
@@ -171,7 +211,11 @@ class MDR(Parameters):
 
     def by_fold(self, rows: DataFrame, feature_cols: Sequence[str]) -> DataFrame:
         """Counts by combination, cell and fold, written once: combinations times 3**k times folds rows; rows: y, fold and the features."""
-        return cut(cell_counts(rows, feature_cols, self.k, ["fold"]))
+        check_strategy(self.strategy, STRATEGIES)
+        gram = self.strategy == "gram" or (self.strategy == "auto" and self.k == 2 and len(feature_cols) <= GRAM_FEATURES)
+        if gram and self.k != 2:
+            raise ValueError("strategy='gram' is for k=2")
+        return cut(gram_counts(rows, feature_cols) if gram else cell_counts(rows, feature_cols, self.k, ["fold"]))
 
     def winners(self, counts: DataFrame) -> DataFrame:
         """(fold, combo, train_ba, test_ba): each fold's best combination on the other folds, the first of equals."""

@@ -56,6 +56,19 @@ def test_accuracy_against_a_loop(spark, k):
         assert got[n] == pytest.approx((tp / cases + tn / (50 - cases)) / 2)
 
 
+def test_pairs_by_products_are_those_by_counting(spark):
+    rng = np.random.default_rng(11)
+    rows = genes(spark, [(*map(int, rng.integers(0, 3, 5)), int(rng.integers(0, 2))) for _ in range(90)], 5).repartition(3)
+    names = [f"f{k}" for k in range(5)]
+    dealt = with_folds(rows, "y", "id", 4)
+    one, two = (sorted(map(tuple, MDR(2, 4, strategy=s).by_fold(dealt, names).select("combo", "cell", "fold", "cases", "controls").collect())) for s in ("sql", "gram"))
+    assert one == two and sum(r[3] + r[4] for r in one) == 90 * 10
+    with pytest.raises(ValueError):
+        MDR(3, 4, strategy="gram").by_fold(dealt, names)
+    with pytest.raises(ValueError):
+        MDR(2, 4, strategy="block").by_fold(dealt, names)
+
+
 def test_mdr_three_way(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -90,7 +103,7 @@ def test_mdr_beside_columns_of_its_own_names(spark):
     assert search.transform(df).columns == [*df.columns, "mdr"]
     dealt = with_folds(df, "risk", "id", 2)
     assert dealt.columns == [c for c in df.columns if c != "fold"] + ["fold"] and dealt.first()["_range"] == 2
-    assert search.get_params() == {"k": 2, "cv": 2, "verbose": False} and search.clone() == MDR(2, 2) and search.clone().model is None
+    assert search.get_params() == {"k": 2, "cv": 2, "verbose": False, "strategy": "auto"} and search.clone() == MDR(2, 2) and search.clone().model is None
     assert search.set_params(k=1).k == 1
     with pytest.raises(ValueError):
         search.set_params(folds=3)

@@ -16,7 +16,7 @@ from lakesift.operators import contingency
 from lakesift.operators.base import NotFittedError
 from lakesift.operators.cfs import CFS, prune, search
 from lakesift.operators.chi2 import chi2, chi2_of_sums, class_sums
-from lakesift.operators.contingency import cells, mi_matrices, mi_pair
+from lakesift.operators.contingency import cells, mi_matrices, mi_pair, su_matrices
 from lakesift.operators.mrmr import MRMR, best_candidate
 
 
@@ -255,6 +255,29 @@ def test_mrmr(spark):
         MRMR(2).transform(df)
 
 
+def test_whole_redundancy_matrix(spark):
+    df, names = planted(spark)
+    for method in ("MID", "MIQ"):
+        one, two = MRMR(4, method).fit(df, "y", names), MRMR(4, method, redundancy="all").fit(df, "y", names)
+        assert one.top_features == two.top_features and one.details["step_scores"] == pytest.approx(two.details["step_scores"])
+    matrix = two.details["redundancy_matrix"]
+    rows = df.collect()
+    assert len(matrix) == 10 and all(matrix[i][j] == matrix[j][i] for i in range(10) for j in range(10)) and matrix[3][3] == 0.0
+    assert matrix[2][7] == pytest.approx(mi([r["f2"] for r in rows], [r["f7"] for r in rows])) and len(two.details["redundancy"]) == 45
+    with pytest.raises(ValueError):
+        MRMR(2, redundancy="some")
+
+
+def test_su_matrices_in_both_ways(spark):
+    df, names = planted(spark)
+    both = [su_matrices(df, "y", names, s) for s in ("sql", "gram")]
+    for k in (0, 1):
+        one, two = ({tuple(r)[:-1]: r["su"] for r in b[k].collect()} for b in both)
+        assert one.keys() == two.keys() and len(one) == (10, 45)[k] and all(one[i] == pytest.approx(two[i], abs=1e-12) for i in one)
+    plain = {r["pair"]: r["su"] for r in symmetrical_uncertainty(cells(df, [(names[0], names[1])])).collect()}
+    assert one[0, 1] == pytest.approx(plain[0]) == pytest.approx(1.0)
+
+
 def test_mrmr_near_ties():
     assert best_candidate({1: 0.5, 2: 0.5 + 1e-13, 3: 0.1}, {1: 0.2, 2: 0.3, 3: 0.0}) == 1
     assert best_candidate({1: 0.5, 2: 0.5}, {1: 0.2, 2: 0.2}) == 1
