@@ -8,7 +8,7 @@ of its white-space-separated words, one after the other. The steps:
    every text as the numbers of its words in order (the positions).
 2. The blocks' distinct words are dealt out by hash of the word, so equal words of all
    blocks meet in one task, which encodes each distinct word once.
-3. The ids come back to each block by a join on the block. A block's distinct words are decoded there by `pieces_of`, a hash join
+3. The ids come back to each block by a join on the block. A block's distinct words are decoded there by `piece_rows`, a hash join
    of their ids with the table of ids and pieces; `decode` runs the same join over any table of ids. Ids and pieces are then joined to
    positions by the word's number.
 
@@ -35,13 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from lakesift.llm.common import shuffle_partitions, table
 
 TOKENIZER = "word_bpe_49k.json"
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 24 << 20
 AT_ONCE = 20_000
 PACKED = "block long, rows binary, positions binary, words binary"
 LISTS = "block long, numbers binary, sizes binary, ids binary"
@@ -176,20 +177,21 @@ def _joined(sent, full: bool):
         pieces = _pieces(sent.value)
         digits = [str(k) for k in range(pieces.num_rows)]
         out = []
-        parts = [tuple(map(_numbers, cells)) for cells in zip(*(lists.column(c).to_pylist() for c in ("numbers", "sizes", "ids")))]
-        numbers, lengths, word_ids = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint32) for k in range(3))
-        said = pieces_of(word_ids, pieces).to_pylist()
-        word_ids, ends = word_ids.tolist(), np.cumsum(lengths, dtype=np.int64).tolist()
+        names = pieces.column("piece").to_pylist()
         for rows, positions, words in zip(*(packed.column(c).to_pylist() for c in ("rows", "positions", "words"))):
             count = len(_open(words).split())
             sizes = np.full(count, -1, np.int64)
             as_ids, as_text = [""] * count, [""] * count
-            sizes[numbers] = lengths
-            at = 0
-            for number, end in zip(numbers.tolist(), ends):
-                as_ids[number] = " ".join([digits[k] for k in word_ids[at:end]])
-                as_text[number] = " ".join(said[at:end])
-                at = end
+            for cells in zip(*(lists.column(c) for c in ("numbers", "sizes", "ids"))):  # a part of the words at a time
+                numbers, lengths, word_ids = (_numbers(x.as_py()) for x in cells)
+                sizes[numbers] = lengths
+                said, at = piece_rows(word_ids, pieces).tolist(), 0
+                word_ids = word_ids.tolist()
+                for number, size in zip(numbers.tolist(), lengths.tolist()):
+                    end = at + size
+                    as_ids[number] = " ".join([digits[k] for k in word_ids[at:end]])
+                    as_text[number] = " ".join([names[k] for k in said[at:end]])
+                    at = end
             if (sizes < 0).any():
                 raise ValueError("a word of a block has no ids")
             listed, positions = pa.ipc.open_stream(rows).read_all(), _numbers(positions)
@@ -222,10 +224,9 @@ def _pieces(content: str) -> pa.Table:
     return pa.table({"token": pa.array(range(n), pa.int32()), "piece": pa.array([tokenizer.id_to_token(k) or "" for k in range(n)], pa.string())})
 
 
-def pieces_of(ids: np.ndarray, pieces: pa.Table) -> pa.ChunkedArray:
-    """The piece of each id, null for ids that the vocabulary hasn't: a hash join of (at, token) with (token, piece), put back in order."""
-    asked = pa.table({"at": pa.array(np.arange(len(ids))), "token": pa.array(ids.astype(np.int32))})
-    return asked.join(pieces, "token", join_type="left outer", use_threads=False).sort_by("at").column("piece")
+def piece_rows(ids: np.ndarray, pieces: pa.Table) -> np.ndarray:
+    """The row of the table of pieces that each id joins, -1 for ids that the vocabulary hasn't: its tokens are hashed once, and each id looks itself up there."""
+    return pc.index_in(pa.array(ids.astype(np.int64)), value_set=pieces.column("token").combine_chunks().cast(pa.int64())).fill_null(-1).to_numpy()
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, full: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -254,13 +255,14 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tok
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(sent.value)
+        names = pieces.column("piece").to_pylist()
         for batch in batches:
             lists = batch.column(1)
             sizes = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
             ids = lists.flatten().cast(pa.int64()).fill_null(-1).to_numpy()
-            found, at, out = pieces_of(np.where((ids < 0) | (ids >= pieces.num_rows), -1, ids), pieces).to_pylist(), 0, []
+            found, at, out = piece_rows(ids, pieces).tolist(), 0, []
             for n in sizes.tolist():
-                out.append(" ".join([x for x in found[at : at + n] if x is not None]))
+                out.append(" ".join([names[k] for k in found[at : at + n] if k >= 0]))
                 at += n
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "decoded"])
 
