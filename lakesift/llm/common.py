@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.checkpoints import cut, shared_folder
+from lakesift.checkpoints import cut, in_few_tasks, shared_folder
 
-__all__ = ["cut", "id_text", "md5_long", "shared_folder", "shuffle_partitions", "table", "text_or_empty", "whole_row"]
+__all__ = ["cut", "id_text", "in_few_tasks", "md5_long", "shared_folder", "shuffle_partitions", "table", "text_or_empty", "whole_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

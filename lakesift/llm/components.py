@@ -48,13 +48,16 @@ def _sum_of(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of each node that has an edge, apart from the roots, which are the smallest of their components; edges: (a, b)."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(node, root) of each node that has an edge, apart from the roots, which are the smallest of their components; edges: (a, b).
+
+    rows: about how many edges there are, if that is known.
+    """
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), rows)
     before = _sum_of(edges)
     while before[0]:
-        large = cut(_large_star(edges, before[0]))
-        edges = cut(_small_star(large, before[0]))
+        large = cut(_large_star(edges, before[0]), before[0])
+        edges = cut(_small_star(large, before[0]), before[0])
         now = _sum_of(edges)
         if now == before:
             break

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakesift.llm.common import cut, shuffle_partitions, table, whole_row
+from lakesift.llm.common import cut, in_few_tasks, shuffle_partitions, table, whole_row
 from lakesift.llm.components import components
 
 SHINGLE = 4
@@ -148,8 +148,8 @@ def compare(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS) ->
     return moved, roots[moved]
 
 
-def _tiles(distinct: DataFrame, tile: int) -> DataFrame:
-    """(tile, fps and ids as bytes): distinct (fp, none, least, bits) sorted by population count, in tiles of `tile` rows.
+def _tiles(distinct: DataFrame, tile: int, n: int) -> DataFrame:
+    """(tile, fps and ids as bytes): the n distinct (fp, none, least, bits) sorted by population count, in tiles of `tile` rows.
 
     Rows are numbered within buckets of a population count and a hash, each of which is a part
     of a tile's size, so no task holds more than that; a tile is never mixed from two population counts.
@@ -176,24 +176,25 @@ def _tiles(distinct: DataFrame, tile: int) -> DataFrame:
             )
 
     spread = dealt.select("bits", "part", "fp", "none", "least").repartition("bits", "part")
-    return spread.mapInArrow(pack, "bits int, part long, nodes binary")
+    return in_few_tasks(spread, n).mapInArrow(pack, "bits int, part long, nodes binary")
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): a spanning forest, by tile pair, of all pairs of fingerprints at most radius bits apart; distinct: (fp, none, least).
+def links(distinct: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+    """(a, b): a spanning forest, by tile pair, of all pairs of fingerprints at most radius bits apart.
 
+    distinct: n rows (fp, none, least) that are cheap to read again.
     a and b are nodes: none (1 if the fingerprint's documents have no id, else 0), least (the smallest id, else 0) and fp.
     """
-    distinct = cut(distinct.withColumn("bits", F.bit_count("fp").cast("int")))
-    tile = min(MOST_TILE, max(LEAST_TILE, distinct.count() // TILES))
-    tiles = cut(_tiles(distinct, tile))
+    distinct = distinct.withColumn("bits", F.bit_count("fp").cast("int"))
+    tile = min(MOST_TILE, max(LEAST_TILE, n // TILES))
+    tiles = cut(_tiles(distinct, tile, n))
     # One row for each tile and each population count within reach: the join is on equal counts.
     within = F.explode(F.array(*[F.col("bits") + d for d in range(radius + 1)]))
     other = tiles.select(F.col("bits").alias("bits2"), F.col("part").alias("part2"))
     pairs = tiles.select("bits", "part", within.alias("bits2")).join(other, "bits2")
     pairs = pairs.where((F.col("bits") < F.col("bits2")) | (F.col("part") <= F.col("part2")))
     same = (F.col("bits") == F.col("bits2")) & (F.col("part") == F.col("part2"))
-    pairs = cut(pairs.withColumn("same", same).withColumn("pair", F.struct("bits", "part", "bits2", "part2")))
+    pairs = cut(pairs.withColumn("same", same).withColumn("pair", F.struct("bits", "part", "bits2", "part2")), tiles.count() ** 2)
     n_pairs = pairs.count()
     sent = F.broadcast(pairs) if n_pairs <= BROADCAST_PAIRS else pairs
     tasks = max(1, min(n_pairs, 4 * shuffle_partitions(distinct.sparkSession)))
@@ -221,19 +222,21 @@ def _fps(nodes: np.ndarray) -> np.ndarray:
 
 def _components(prints: DataFrame, radius: int) -> DataFrame:
     """prints with root (a fingerprint) and component_id; prints: a table with the columns doc_id and fp that is cheap to read again."""
-    smallest = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    total = prints.count()
+    smallest = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), total)
+    n, most = smallest.agg(F.count(F.lit(1)), F.coalesce(F.max("copies"), F.lit(0))).first()
     nodes = smallest.select("fp", F.col("least").isNull().cast("long").alias("none"), F.coalesce("least", F.lit(0)).alias("least"))
-    roots = components(links(nodes, radius)).select(F.col("node")["fp"].alias("fp"), F.col("root").alias("top"))
+    roots = components(links(nodes, n, radius), n).select(F.col("node")["fp"].alias("fp"), F.col("root").alias("top"))
     top = F.col("top")
     component = F.when(top.isNull(), F.col("least")).when(top["none"] == 0, top["least"])
-    named = cut(smallest.join(roots, "fp", "left").select("fp", F.coalesce(top["fp"], "fp").alias("root"), component.alias("component_id"), "copies"))
-    total, most = smallest.agg(F.coalesce(F.sum("copies"), F.lit(0)), F.coalesce(F.max("copies"), F.lit(0))).first()
+    named = smallest.join(roots, "fp", "left").select("fp", F.coalesce(top["fp"], "fp").alias("root"), component.alias("component_id"), "copies")
+    named = cut(named, n)
     limit = max(1, total // HOT_SHARE)
     few, many = named.where(F.col("copies") <= limit).drop("copies"), named.where(F.col("copies") > limit).drop("copies")
     if most <= limit:
-        return prints.join(few, "fp")
+        return in_few_tasks(prints.join(few, "fp"), total)
     rest = prints.join(F.broadcast(many.select("fp")), "fp", "left_anti").join(few, "fp")
-    return rest.unionByName(prints.join(F.broadcast(many), "fp"))
+    return in_few_tasks(rest.unionByName(prints.join(F.broadcast(many), "fp")), total)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

@@ -1,6 +1,7 @@
 """BPE, near copies, toxicity, media, search and HTML against brute force, exact round trips and held-out rows."""
 
 import hashlib
+import os
 import re
 import zlib
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lakesift.llm import bpe, html_template, matroska, simhash, topk, toxicity
+from lakesift.llm.common import cut
 from lakesift.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -135,6 +137,27 @@ def test_simhash(spark):
     assert len(set(least.values())) < len(texts)
 
 
+def test_simhash_writes_few_files(spark):
+    """Files in the checkpoint folder follow rows and cores, not shuffle partitions; results are the same."""
+    texts = copies()
+    df = documents(spark, list(enumerate(texts))).coalesce(1)
+    cut(spark.range(1))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    files = lambda: sum(name.startswith("part-") for _, _, names in os.walk(folder) for name in names)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 50)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        before = files()
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+        wrote = files() - before
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(slow_components([slow_fingerprint(t) for t in texts])))
+    assert 0 < wrote < 50
+
+
 def test_simhash_tiles_find_every_link():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
