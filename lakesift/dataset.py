@@ -31,6 +31,15 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return flat.reshape(len(lists), -1) if len(lists) else flat.reshape(0, 0)
 
 
+def least_different(seen: np.ndarray, values: np.ndarray, most: int) -> np.ndarray:
+    """The least different values of both, or of seen and the first values if those are enough; a copy, as a view would hold on to all of them."""
+    for part in (values[:256], values[256:]):
+        seen = np.union1d(seen, part)[:most].copy()
+        if len(seen) == most:
+            break
+    return seen
+
+
 @dataclass(frozen=True)
 class FeatureFrame:
     """feature_cols are addressed by position; id_col is needed only where rows are compared with each other.
@@ -162,11 +171,9 @@ class FeatureFrame:
                 low, high = np.minimum(low, x.min(axis=0)), np.maximum(high, x.max(axis=0))
                 for f, seen in enumerate(kept):
                     if len(seen) < most:
-                        for part in (x[:256, f], x[256:, f]):
-                            seen = np.union1d(seen, part)[:most]
-                            if len(seen) == most:
-                                break
-                        kept[f] = seen
+                        kept[f] = least_different(seen, x[:, f], most)
+                del batch, x
+                pa.default_memory_pool().release_unused()
             if low is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(low)), pa.int32()), pa.array(low), pa.array(high), pa.array(kept, pa.list_(pa.float64()))], names=["feature_idx", "low", "high", "seen"])
 
